@@ -43,7 +43,7 @@ def write_file(uri: str, parts) -> int:
     fs, path = filesystem(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     size = 0
-    with fs.open_output_stream(path) as out:
+    with fs.open_output_stream(path, compression=None) as out:
         for part in parts:
             out.write(part)
             size += len(part)

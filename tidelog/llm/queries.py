@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
 from .common import table
 
+#: The URL list of op10: host, path, verdict.
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -13,6 +17,24 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import digest, find_hits
+
+    return digest(find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), spans=False))
+
+
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(spark, table(spark, sf_dir, "pages"))
+
+
 def op8_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfile import round_trip
 
@@ -25,5 +47,15 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op8_rans_token_files, op9_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    return judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op7_warc_round_trip, op8_rans_token_files, op9_best_fit_packing, op10_url_filter)}
+ORACLE_SQL = {
+    "op2_decontaminate": sql.DECONTAMINATE,
+    "op7_warc_round_trip": sql.WARC,
+    "op10_url_filter": sql.urls(URL_RULES),
+}
