@@ -50,3 +50,28 @@ best as (
   from parts join listed on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by r)
 select page_id, host, path, rule, coalesce(verdict, 'allow') verdict from parts left join best using (r)
 """
+
+
+def secrets(rules, base_kinds) -> str:
+    """Starts from the lengths of a rule's matches and of what lies between them."""
+    parts = []
+    for rank, r in enumerate(rules):
+        quoted = r.pattern.replace("'", "''")
+        parts.append(f"""
+select r, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'kind': '{r.kind}', 'rank': {rank},
+    'start': (list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::bigint,
+    'size': length(m[i]), 'secret': length(s[i])}})) f
+from (select r, regexp_extract_all(t, '{quoted}') m, regexp_extract_all(t, '{quoted}', {r.group}) s, string_split_regex(t, '{quoted}') b from docs)""")
+    base = ", ".join(f"'{k}'" for k in base_kinds)
+    counts = ", ".join(f"count(*) filter (kind = '{k}') n_{k}" for k in base_kinds)
+    outer = ", ".join(f"coalesce(n_{k}, 0)::bigint n_{k}" for k in base_kinds)
+    least = " or ".join(f"(kind = '{r.kind}' and secret >= {r.least})" for r in rules)
+    return f"""
+with docs as (select row_number() over () r, doc_id, coalesce(text, '') t from documents),
+found as (select r, f.kind kind, f.rank rank, f.start start, f.start + f.size stop, f.secret secret from ({" union all ".join(parts)})),
+kept as (select *, kind || ':' || start || ':' || stop span from found where {least}),
+each as (
+  select r, {counts}, string_agg(span, ',' order by start, rank) spans, string_agg(span, ',' order by start, rank) filter (kind in ({base})) base
+  from kept group by r)
+select doc_id, {outer}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from docs left join each using (r)
+"""
