@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from .common import input_columns
 from .expressions import at, let, numbers, words
 
-BUCKETS = 1 << 13
+BUCKETS = 1 << 12
 SHIFT = 16
 #: Least score, in log units per n-gram, that the method keeps.
-THRESHOLD = -0.5
+THRESHOLD = -0.06
 #: Trusted ids up to which they are sent to every task (16 bytes each); beyond, the join is a shuffle.
 BROADCAST_IDS = 1_000_000
 MIN_WORDS = 50

@@ -33,6 +33,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), spans=False))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import cluster
+
+    return cluster(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -75,9 +81,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op4_quality_rules, op5_secret_scan, op6_pii_surrogates, op7_warc_round_trip, op8_rans_token_files, op9_best_fit_packing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_ngram_jaccard_join, op4_quality_rules, op5_secret_scan, op6_pii_surrogates, op7_warc_round_trip, op8_rans_token_files, op9_best_fit_packing, op10_url_filter)}
 ORACLE_SQL = {
     "op2_decontaminate": sql.DECONTAMINATE,
+    "op3_ngram_jaccard_join": sql.JACCARD,
     "op5_secret_scan": sql.secrets(RULES, tuple(r.kind for r in BASE)),
     "op7_warc_round_trip": sql.WARC,
     "op10_url_filter": sql.urls(URL_RULES),

@@ -26,6 +26,23 @@ select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesc
 from docs left join marked using (r) left join named using (r)
 """
 
+JACCARD = rf"""
+with recursive words as (
+  select row_number() over () r, doc_id, list_filter(regexp_split_to_array({lower("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+sets as (
+  select r, doc_id, case when len(w) = 0 then [] else list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) end s
+  from words),
+classes as (select s, min(doc_id) id, len(s) n from sets group by s),
+grams as (select id, n, unnest(s) g from classes),
+links as (
+  select x.id a, y.id b from grams x join grams y on x.g = y.g and x.id <> y.id and 4 * x.n >= 3 * y.n and 4 * y.n >= 3 * x.n
+  group by x.id, y.id, x.n, y.n having 7 * count(*) >= 3 * (x.n + y.n)),
+reach(id, root) as (select id, id from classes where n > 0 union select l.b, reach.root from reach join links l on l.a = reach.id),
+roots as (select id, min(root) root from reach group by id)
+select sets.doc_id, len(sets.s)::bigint n_shingles, coalesce(root, sets.doc_id) component_id
+from sets left join classes on classes.s = sets.s and len(sets.s) > 0 left join roots on roots.id = classes.id
+"""
+
 WARC = """
 with p as (select page_id, strlen(coalesce(html, ''))::bigint payload_bytes, sha1(coalesce(html, '')) payload_digest from pages),
 g as (select payload_digest, max(page_id) m from p where payload_bytes >= 1000 group by 1)
