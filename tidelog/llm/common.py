@@ -57,3 +57,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def input_columns(df: DataFrame, **columns: str) -> DataFrame:
     """Only the columns that an operator reads, under its own names: others never clash."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+def spread(units: DataFrame, *keys: str, most: int = 20_000) -> DataFrame:
+    """Small rows that each stand for much work, over as many tasks as there are rows (or most)."""
+    return units.repartition(max(1, min(most, units.count())), *keys)
+
+
+def keep_rows(docs: DataFrame, wanted) -> DataFrame:
+    """The rows of docs for which wanted(batch), an array of booleans, is true; all columns as they are."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(wanted(batch))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_columns, materialize
+from .common import input_columns, keep_rows, materialize
 
 WINDOW = 10
 #: Benchmark text of one automaton (about ten tree nodes a byte); a larger benchmark is scanned for in blocks.
@@ -102,13 +102,8 @@ def _scan_block(docs: DataFrame, items: tuple, window: int, spans: bool) -> Data
     return docs.mapInArrow(run, HITS)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", spans: bool = True) -> DataFrame:
-    """Per document: doc_id, n_words, hit_words (their numbers), items (ids with occurring windows, sorted), spans.
-
-    The benchmark goes to the executors in blocks of at most block_bytes, so what is sent and each automaton are
-    bounded; with more than one block the texts are scanned once for each, and a document's hits are merged.
-    """
-    named = input_columns(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, item_id: str = "item_id", item_text: str = "text") -> list[tuple]:
+    """The benchmark's items (id, text) in blocks of bounded size; at least one block."""
     items = input_columns(benchmark, item_id=item_id, text=item_text).where("text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("string"))
     blocks, held, size = [], [], 0
     for row in items.orderBy("item_id", "text").toLocalIterator():
@@ -118,7 +113,29 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
             held, size = [], 0
         held.append((row["item_id"], raw))
         size += len(raw)
-    blocks.append(tuple(held))
+    return [*blocks, tuple(held)]
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, text: str = "text") -> DataFrame:
+    """The documents in which no window of the benchmark occurs; all columns stay."""
+    for block in blocks_of(benchmark, block_bytes):
+
+        def wanted(batch, block=block):
+            machine = automaton(block, window)
+            return pa.array([not scan(t or b"", machine)[2] for t in batch.column(text).cast(pa.binary()).to_pylist()], pa.bool_())
+
+        docs = keep_rows(docs, wanted)
+    return docs
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", spans: bool = True) -> DataFrame:
+    """Per document: doc_id, n_words, hit_words (their numbers), items (ids with occurring windows, sorted), spans.
+
+    The benchmark goes to the executors in blocks of at most block_bytes, so what is sent and each automaton are
+    bounded; with more than one block the texts are scanned once for each, and a document's hits are merged.
+    """
+    named = input_columns(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    blocks = blocks_of(benchmark, block_bytes, item_id, item_text)
     if len(blocks) == 1:
         return _scan_block(named.withColumn("row_id", F.lit(0).cast("long")), blocks[0], window, spans).drop("row_id")
     numbered = materialize(named.withColumn("row_id", F.monotonically_increasing_id()), "decontaminate-docs")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_columns
+from .common import input_columns, keep_rows
 
 UNKNOWN = "und"
 #: Most texts that the classifiers are fitted on, over all languages.
@@ -138,26 +138,47 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_id: str = "doc_id
     return fit(np.stack([np.frombuffer(x, np.float32) for _, x in rows]), [v for v, _ in rows])
 
 
+def judge(texts: list, model: Model | None) -> tuple[list[str], list[float], list[bool]]:
+    """Language, score and flag of each text."""
+    found = [features(t) for t in texts]
+    langs, scores, flags = [UNKNOWN] * len(found), [0.0] * len(found), [True] * len(found)
+    at = [i for i, f in enumerate(found) if f is not None] if model else []
+    for k in range(0, len(at), 512):
+        some = at[k : k + 512]
+        x = np.stack([found[i] for i in some]) * np.float32(8)
+        near, score, flag = decode((x @ model.weights[:-1] + model.weights[-1]).astype(float), model)
+        for i, a, b, c in zip(some, near.tolist(), score.tolist(), flag.tolist(), strict=True):
+            langs[i], scores[i], flags[i] = model.languages[a], b, c
+    return langs, scores, flags
+
+
 def predict(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, ambiguous of every whole text."""
     named = input_columns(docs, doc_id=doc_id, text=text)
 
     def run(batches):
         for batch in batches:
-            found = [features(t) for t in batch.column("text").to_pylist()]
-            langs, scores, flags = [UNKNOWN] * len(found), [0.0] * len(found), [True] * len(found)
-            at = [i for i, f in enumerate(found) if f is not None] if model else []
-            for k in range(0, len(at), 512):
-                some = at[k : k + 512]
-                x = np.stack([found[i] for i in some]) * np.float32(8)
-                near, score, flag = decode((x @ model.weights[:-1] + model.weights[-1]).astype(float), model)
-                for i, a, b, c in zip(some, near.tolist(), score.tolist(), flag.tolist(), strict=True):
-                    langs[i], scores[i], flags[i] = model.languages[a], b, c
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                langs, scores, flags = judge(part.column("text").to_pylist(), model)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
     return named.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
+def accept(docs: DataFrame, model: Model | None, least: float = 0.4, text: str = "text") -> DataFrame:
+    """The documents that have a language: not "und", and not flagged with a score under least. All columns stay."""
+
+    def wanted(batch):
+        texts = batch.column(text).to_pylist()
+        out = []
+        for k in range(0, len(texts), 1024):
+            out += [v != UNKNOWN and not (c and s < least) for v, s, c in zip(*judge(texts[k : k + 1024], model), strict=True)]
+        return pa.array(out, pa.bool_())
+
+    return keep_rows(docs, wanted)
+
+
 def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Learn from the rows that are not held out, then predict all of them."""
     out = predict(docs, train(docs, sample_docs))

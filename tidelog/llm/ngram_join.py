@@ -321,3 +321,17 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     member = materialize(rooted.join(ids, "root").select("set_id", "component_id"), "members")
     return about.join(member, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component stays, that with the smallest doc_id; all columns stay.
+
+    Where some doc_id is null or repeated, rows are numbered and the first row of each component stays.
+    """
+    ids = docs.select(F.col(f"`{doc_id}`").alias("i"))
+    odd = ids.where("i is null").take(1) or ids.groupBy("i").count().where("count > 1").take(1)
+    key = "__join_row" if odd else doc_id
+    rows = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "join-docs") if odd else docs
+    gone = materialize(cluster(rows, key, text).where("component_id <> doc_id").select(F.col("doc_id").alias(key)), "join-gone")
+    out = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
