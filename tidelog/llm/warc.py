@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_path, input_columns, materialize, write_file
+from .common import filesystem, fresh_path, input_columns, materialize, spread, write_file
 
 #: Payloads from this size on are written once.
 REVISIT_BYTES = 1000
@@ -177,7 +177,7 @@ def candidate_edges(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
                     beyond[at] = to if to is None or to >= end else beyond.get(to)
                 yield pa.RecordBatch.from_arrays([pa.array([row["path"]] * len(ats), pa.string()), *(pa.array([f(a) for a in ats], pa.int64()) for f in (int, after.get, beyond.get))], names=["path", "at", "successor", "beyond"])
 
-    return blocks_of(files, block_bytes).repartition("path", "start").mapInArrow(run, "path string, at long, successor long, beyond long")
+    return spread(blocks_of(files, block_bytes), "path", "start").mapInArrow(run, "path string, at long, successor long, beyond long")
 
 
 def reachable(files: DataFrame, edges: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -201,7 +201,7 @@ def reachable(files: DataFrame, edges: DataFrame, block_bytes: int = BLOCK_BYTES
 def read_warc(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The records of the files (path, size) that are reachable from a file's start. Payloads are checked against their digests."""
     entries = reachable(files, materialize(candidate_edges(files, block_bytes), "edges"), block_bytes)
-    entries = entries.join(files.select("path", "size"), "path").where("at < size")
+    entries = materialize(entries.join(files.select("path", "size"), "path").where("at < size"), "entries")
 
     def run(batches):
         for batch in batches:
@@ -221,7 +221,7 @@ def read_warc(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)], names=[f.split()[0] for f in RECORDS.split(", ")])
 
-    return entries.repartition("path", "at").mapInArrow(run, RECORDS)
+    return spread(entries, "path", "at").mapInArrow(run, RECORDS)
 
 
 def write_warc(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, compress: bool = True, file_bytes: int = FILE_BYTES, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
