@@ -1 +1 @@
-"""Version-log analytics on PySpark."""
+"""Column functions: key order, numbers, collection codecs, Bloom filters."""

@@ -1 +1 @@
-"""Version-log analytics on PySpark."""
+"""Operators over version logs."""

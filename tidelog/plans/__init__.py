@@ -1 +1 @@
-"""Version-log analytics on PySpark."""
+"""Plans: commands to plans over a store, and the catalogue of registered queries."""

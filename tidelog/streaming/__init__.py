@@ -1 +1 @@
-"""Version-log analytics on PySpark."""
+"""Structured Streaming into a version store."""
