@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_path, input_columns, write_file
+from .common import filesystem, fresh_path, input_columns, spread, write_file
 from .tokens import encoded, tokenizer
 
 MAGIC = b"TIDErANS"
@@ -34,6 +34,8 @@ BLOCK = 1 << 16
 #: Ids of one file (a longer document makes a longer file) and of one read task.
 FILE_IDS = 4 << 20
 READ_IDS = 1 << 20
+#: Counts that travel in one row.
+COUNTS = 1 << 13
 #: Blocks that are coded side by side.
 TOGETHER = 32
 LOW = 1 << 31
@@ -195,7 +197,7 @@ class TokenFile:
             lo = up
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, np.ndarray]:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> tuple[DataFrame, np.ndarray]:
     """Encode whole texts and write their ids in ascending doc_id order. Return the files' manifest and the shared frequencies.
 
     Documents are dealt by ranges of doc_id once, as texts; their ids are kept (2 or 4 bytes each) until all
@@ -216,24 +218,28 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, doc
                 yield pa.RecordBatch.from_arrays([pa.array([part_no] * rows, pa.int32()), pa.array(np.arange(pos, pos + rows)), part.column("doc_id"), raw, pa.nulls(rows, pa.binary())], names=["part", "pos", "doc_id", "ids", "counts"])
                 pos += rows
         if counts is not None:
-            yield pa.RecordBatch.from_pydict({"part": [part_no], "pos": [-1], "doc_id": [None], "ids": [None], "counts": [counts.astype("<i8").tobytes()]}, pa.schema([("part", pa.int32()), ("pos", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())]))
+            raw = counts.astype("<i8").tobytes()
+            pieces = [raw[k : k + 8 * COUNTS] for k in range(0, len(raw), 8 * COUNTS)]
+            n = len(pieces)
+            yield pa.RecordBatch.from_arrays([pa.array([part_no] * n, pa.int32()), pa.array([-1 - k for k in range(n)], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(pieces, pa.binary())], names=["part", "pos", "doc_id", "ids", "counts"])
 
     path = fresh_path(spark, "ids")
     ordered = named.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(tokenise, "part int, pos long, doc_id long, ids binary, counts binary").write.option("compression", "zstd").parquet(path)
     held = spark.read.parquet(path)
 
-    def spread(batches):
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for raw in batch.column("counts").to_pylist():
-                n = np.frombuffer(raw, "<i8")
-                at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["id", "n"])
+            for pos, raw in zip(batch.column("pos").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[pos] = sums.get(pos, 0) + np.frombuffer(raw, "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], names=["pos", "counts"])
 
     size = tokenizer(tokenizer_path).size
     counts = np.zeros(size, np.int64)
-    for row in held.where("pos = -1").select("counts").mapInArrow(spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[row["id"]] = row["n"]
+    for row in held.where("pos < 0").select("pos", "counts").repartition("pos").mapInArrow(total, "pos long, counts binary").collect():  # the vocabulary's size
+        at = (-1 - row["pos"]) * COUNTS
+        counts[at : at + COUNTS] = np.frombuffer(row["counts"], "<i8")
     freq, folder, dtype = quantize(counts), fresh_path(spark, "token-files"), tokenizer(tokenizer_path).dtype
 
     def write(batches):
@@ -247,7 +253,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, doc
 
         for batch in batches:
             for part, pos, i, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "pos", "doc_id", "ids")), strict=True):
-                if key and (n >= FILE_IDS or (part, pos) != (key[0], key[1] + len(held_docs))):
+                if key and (n >= file_ids or (part, pos) != (key[0], key[1] + len(held_docs))):
                     yield flush()
                     held_ids, held_docs, lengths, key, n = [], [], [], None, 0
                 key = key or (part, pos)
@@ -296,7 +302,7 @@ def read_token_files(manifest: DataFrame, freq: np.ndarray, read_ids: int = READ
                             raise ValueError(f"{row['path']}: documents end early")
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return units.repartition("path", "unit").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread(units, "path", "unit").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
