@@ -148,6 +148,15 @@ def hidden_versions(spark, d):
     return reads.hidden(_log(spark, d), NOW)
 
 
+@query("""select l_partkey, max(seq) seq, arg_max(l_quantity, seq) quantity, arg_max(l_extendedprice, seq) price
+from (select *, l_orderkey * 1000000000 + l_linenumber * 100000 + l_suppkey seq from lineitem) group by 1""", log=False)
+def lineitem_latest(spark, d):
+    """The newest line of each part: payloads of fixed width combine in a hash aggregate before the shuffle."""
+    seq = F.col("l_orderkey") * 1000000000 + F.col("l_linenumber") * 100000 + F.col("l_suppkey")
+    log = oplog.table(spark, d, "lineitem").select("l_partkey", seq.alias("seq"), "l_quantity", "l_extendedprice")
+    return log.groupBy("l_partkey").agg(F.max("seq").alias("seq"), F.max_by("l_quantity", "seq").alias("quantity"), F.max_by("l_extendedprice", "seq").alias("price"))
+
+
 # Several keys
 
 ASKED = [(i, f"user:{k:05d}") for i, k in enumerate([3, 7, 7, 99999, 12, 3, 55, 140])]
