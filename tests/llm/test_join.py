@@ -122,7 +122,9 @@ def test_prefixes_of_linked_sets_meet():
         assert pairs.tolist() == [[0, 1]] and ngram_join.linked(a, b)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, 500_000])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr("tidelog.llm.components.LOCAL_EDGES", local)
     r = random.Random(3)
     chain = [(i, i + 1) for i in range(1, 300)]
     star = [(1000, 1000 + i) for i in range(1, 200)]

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 ROUNDS = 60
+#: Edges up to which one task finishes the work (about 100 MB); beyond, the rounds of stars do.
+LOCAL_EDGES = 500_000
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -49,6 +51,9 @@ def components(edges: DataFrame) -> DataFrame:
     """set_id, root of every end of an edge (a, b): root is the least id that it is connected with."""
     now = materialize(_contract(edges.select("a", "b")), "edges")
     for _ in range(ROUNDS):
+        if now.count() <= LOCAL_EDGES:
+            now = materialize(_contract(now.coalesce(1)), "edges")
+            break
         # Done when every greater end has one edge and no lesser end is a greater one: all are stars.
         ends = now.groupBy("a").agg(F.count_distinct("b").alias("n"))
         if not ends.where("n > 1").take(1) and not now.select(F.col("b").alias("a")).join(ends, "a", "left_semi").take(1):
