@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +53,24 @@ def write_file(uri: str, parts) -> int:
     return size
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once a context, unless their path has it anyway."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if context.master.startswith("local[") or context.master == "local":
+        known.append(os.getcwd())
+    if str(package.parent) in known or getattr(context, "_tidelog_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="tidelog-"), "tidelog.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(path)
+    context._tidelog_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
