@@ -100,9 +100,10 @@ class Records:
         ends.append(place - len(inflate.unused_data))
 
     def _plain(self, at: int):
-        while raw := self.file.read_at(4096 if at % 2 else READ_BYTES, at):
+        wanted = 4096
+        while raw := self.file.read_at(wanted, at):
             yield raw
-            at += len(raw)
+            at, wanted = at + len(raw), READ_BYTES
 
     def read(self, at: int, payload: bool = False) -> tuple[int, dict[str, str], bytes, str] | None:
         """Successor, header, payload (if wanted) and its SHA-1 of the record at a place; None if there is none."""
@@ -184,8 +185,10 @@ def reachable(files: DataFrame, edges: DataFrame, block_bytes: int = BLOCK_BYTES
     """path, at: the first record on the chain in each block that the chain from the file's start enters, and the file's end."""
     spark = files.sparkSession
     largest = files.agg(F.max("size")).first()[0] or 0
-    jump = materialize(edges.where("beyond is not null").select("path", "at", F.col("beyond").alias("to")), "jump")
     reach = files.select("path", F.lit(0).cast("long").alias("at"))
+    # Chains in a block soon run together, so few candidates are where one from an earlier block lands; only these can be entered.
+    landed = edges.where("beyond is not null").select("path", F.col("beyond").alias("at")).unionByName(reach).distinct()
+    jump = materialize(edges.where("beyond is not null").join(landed, ["path", "at"], "left_semi").select("path", "at", F.col("beyond").alias("to")), "jump")
     hops = max(1, -(-largest // block_bytes))  # blocks that a chain can enter
     for step in range(hops.bit_length()):
         reach = materialize(reach.unionByName(reach.join(jump, ["path", "at"]).select("path", F.col("to").alias("at"))).distinct(), "reach")
