@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Text of one batch that goes to a worker (a longer row makes a batch of its own).
+BATCH_BYTES = 16 << 20
+
 #: Words of the shingle and quality operators are runs of anything but these bytes.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -53,8 +59,23 @@ def write_file(uri: str, parts) -> int:
     return size
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the workers, once a context, unless their path has it anyway."""
+@functools.cache
+def _trimmer():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give a worker's freed memory back: workers live on between stages, and what they keep adds up."""
+    pa.default_memory_pool().release_unused()
+    _trimmer()(0)
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bound the batches, and send this package to the workers, once a context, unless their path has it anyway."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
     known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if context.master.startswith("local[") or context.master == "local":
@@ -70,12 +91,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def input_columns(df: DataFrame, **columns: str) -> DataFrame:
     """Only the columns that an operator reads, under its own names: others never clash."""
+    prepare(df.sparkSession)
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
@@ -90,5 +112,7 @@ def keep_rows(docs: DataFrame, wanted) -> DataFrame:
     def run(batches):
         for batch in batches:
             yield batch.filter(wanted(batch))
+            release()
 
+    prepare(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

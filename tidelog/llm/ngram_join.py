@@ -18,16 +18,17 @@ component ids are the smallest doc_id; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
-import zlib
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import input_columns, materialize
+from .common import input_columns, materialize, release
 from .components import components
 
 #: Postings of one bucket (24 bytes each), and the sets that may meet at a shingle before it counts as crowded.
@@ -77,6 +78,7 @@ def profile(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
                 add()
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], schema=schema)
+            release()
         flat = sketch.reshape(-1, CHUNK)
         used = np.flatnonzero(flat.any(1)).tolist()
         if used:
@@ -139,6 +141,8 @@ def postings(docs: DataFrame, sketch: np.ndarray, buckets: int, doc_id: str = "d
                     made, n = [], 0
             if made:
                 yield flush()
+            made = []
+            release()
 
     return _named(docs, doc_id, text).select("text").mapInArrow(run, "bucket long, rows binary")
 
@@ -192,7 +196,11 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def packed(text: bytes) -> bytes:
-    return zlib.compress(b" ".join(text.split()), 1)
+    return zstandard.ZstdCompressor(level=3).compress(b" ".join(text.split()))
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
 def candidate_texts(docs: DataFrame, sets: DataFrame, reps: DataFrame, repeated: bool, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,6 +217,7 @@ def candidate_texts(docs: DataFrame, sets: DataFrame, reps: DataFrame, repeated:
                     ids.append(key)
                     out.append(packed(t))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["set_id", "z"])
+            release()
 
     named = _named(docs, doc_id, text).where("text is not null")
     joined = named.join(F.broadcast(wanted) if small else wanted, named["doc_id"].eqNullSafe(wanted["doc_id"])).select("set_id", "text")
@@ -221,9 +230,11 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ok = [linked(sh.shingles(zlib.decompress(x)), sh.shingles(zlib.decompress(y))) for x, y in zip(batch.column("za").to_pylist(), batch.column("zb").to_pylist(), strict=True)]
+            ok = [linked(sh.shingles(unpacked(x)), sh.shingles(unpacked(y))) for x, y in zip(batch.column("za").to_pylist(), batch.column("zb").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            release()
 
+    texts = texts.hint("merge")  # they grow with the input: never broadcast, and alike at every size
     left = pairs.join(texts.select(F.col("set_id").alias("a"), F.col("z").alias("za")), "a")
     return left.join(texts.select(F.col("set_id").alias("b"), F.col("z").alias("zb")), "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
@@ -243,7 +254,7 @@ def block_links(ids: list[int], blocks: list[int], roots: list[int], texts: list
 
     if len(count) == 1:
         return []
-    sets = [sh.shingles(zlib.decompress(t)) for t in texts]
+    sets = [sh.shingles(unpacked(t)) for t in texts]
     sizes, owner = np.array([len(s) for s in sets]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
@@ -267,18 +278,25 @@ def block_links(ids: list[int], blocks: list[int], roots: list[int], texts: list
 
 
 def crowd_links(crowded: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links that are missing between components that meet at a crowded shingle. crowded: shingle, set_id."""
+    """Links that are missing between components that meet at a crowded shingle. crowded: shingle, set_id.
+
+    A shingle's largest component has blocks of its own, which never meet each other: with few sets outside it,
+    the work grows with the number of sets there, not with its square.
+    """
     labelled = crowded.distinct().join(roots, "set_id", "left").select("shingle", "set_id", F.coalesce("root", "set_id").alias("root"))
     labelled = materialize(labelled, "crowded")
-    open_ = labelled.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    # Blocks by component, so that most pairs of blocks hold one component and are left out.
-    blocks = F.ceil(F.col("n") / BLOCK_SETS).cast("int")
-    dealt = labelled.join(open_.select("shingle", blocks.alias("blocks")), "shingle").withColumn("block", F.pmod(F.xxhash64("root", F.floor(F.pmod(F.xxhash64("set_id"), F.lit(1 << 20)) * F.col("blocks") / F.lit(1 << 20))), F.col("blocks")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("shingle", F.least("block", "other").alias("lo_block"), F.greatest("block", "other").alias("hi_block"), "block", "set_id", "root")
-    mixed = pairs.groupBy("shingle", "lo_block", "hi_block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle", "lo_block", "hi_block")
-    rows = pairs.join(mixed, ["shingle", "lo_block", "hi_block"]).join(texts, "set_id")
-
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    sizes = labelled.groupBy("shingle", "root").agg(F.count("*").alias("n"))
+    about = sizes.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+    blocks = lambda n: F.ceil(n / BLOCK_SETS).cast("int")
+    about = about.select("shingle", F.col("top.root").alias("top"), blocks(F.col("n") - F.col("top.n")).alias("others"), blocks(F.col("top.n")).alias("tops"))
+    dealt = labelled.join(about, "shingle")
+    in_top, spot = F.col("root") == F.col("top"), F.xxhash64("set_id")
+    dealt = dealt.withColumn("block", F.when(in_top, F.col("others") + F.pmod(spot, F.col("tops"))).otherwise(F.pmod(spot, F.col("others"))).cast("int"))
+    partner = F.explode(F.sequence(F.lit(0), F.when(in_top, F.col("others") - 1).otherwise(F.col("others") + F.col("tops") - 1)))
+    pairs = dealt.withColumn("other", partner).select("shingle", F.least("block", "other").alias("lo_block"), F.greatest("block", "other").alias("hi_block"), "block", "set_id", "root")
+    rows = pairs.join(texts.hint("merge"), "set_id")
+
+    def run(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("set_id", kind="stable")
         found = block_links(group["set_id"].tolist(), group["block"].tolist(), group["root"].tolist(), group["z"].tolist(), key[1], key[2])
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
@@ -294,7 +312,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[D
     total = reps.agg(F.sum(F.expr("n - (3 * n + 3) div 4 + 1")).alias("p")).first()["p"] or 0
     buckets = max(1, -(-total // BUCKET_POSTINGS))
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
         pairs, crowd = meet(np.frombuffer(b"".join(group["rows"]), POSTING))
         return pd.DataFrame({"a": np.concatenate([pairs[:, 0], crowd["set"]]), "b": np.concatenate([pairs[:, 1], crowd["shingle"].view(np.int64)]), "crowd": np.repeat([False, True], [len(pairs), len(crowd)])})
 

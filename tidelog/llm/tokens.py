@@ -18,10 +18,12 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
+from .common import release
+
 #: Pieces kept per worker before the cache starts anew (about 200 bytes each).
-CACHE_PIECES = 800_000
+CACHE_PIECES = 400_000
 #: Bytes of text handled at once.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 #: Characters for which lower-casing and splitting agree everywhere: ASCII and the Latin-1 letters.
 _PLAIN = re.compile(r"[\x20-\x7EÀ-ÖØ-öø-ÿ]*")
@@ -56,8 +58,7 @@ class WordTokenizer:
         self.last = np.zeros(self.size, bool)  # ids that end a piece
         self.last[[i for t, i in shape["model"]["vocab"].items() if t.endswith("</w>")]] = True
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in shape["added_tokens"]) or r"(?!)")
-        shape |= {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
-        self.bare = Tokenizer.from_str(json.dumps(shape))  # the same vocabulary and merges, for ready pieces
+        self.bare = Tokenizer(self.full.model)  # the same vocabulary and merges, for ready pieces
         self.half = cache_pieces // 2
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -175,3 +176,4 @@ def encoded(batch: pa.RecordBatch, path: str, end_id: int | None):
             ids = np.insert(ids, bounds[1:], end_id)
             bounds = bounds + np.arange(len(bounds))
         yield part, ids, bounds
+    release()
