@@ -76,6 +76,20 @@ def test_groups_of_near_copies(spark, seed, monkeypatch):
     assert found(frame(spark, texts)) == brute(list(enumerate(texts)))
 
 
+def test_few_near_copies_of_a_text_with_many_copies(spark, monkeypatch):
+    """Copies make a text's shingles hot in the sketch, so they are salted; its near copies still link across buckets."""
+    monkeypatch.setattr(ngram_join, "BUCKET_POSTINGS", 16)
+    texts = variants(5, 14, 80, 3) + [" ".join(f"w5x{i}" for i in range(80))] * 300 + variants(6, 3, 40, 1)
+    random.Random(5).shuffle(texts)
+    assert found(frame(spark, texts)) == brute(list(enumerate(texts)))
+
+
+def test_salted_postings_are_passed_on():
+    row = np.array([(7, 1, 40, 3 | ngram_join.SALTED)], ngram_join.POSTING)
+    pairs, crowd = ngram_join.meet(row)
+    assert not len(pairs) and crowd["set"].tolist() == [1]
+
+
 def test_edges(spark):
     docs = edge_docs(spark)
     assert found(clashing(docs)) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])

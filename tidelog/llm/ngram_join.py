@@ -9,7 +9,8 @@
 4. Components over the links. Where many sets meet at one shingle, only neighbours by size are candidates at
    first; if that leaves several components at the shingle, the sets outside its largest one are compared with
    all of the others there, in blocks. So no link between components is lost, and a group of near copies is
-   not expanded into its pairs.
+   not expanded into its pairs. A shingle that is dealt over several buckets goes the same way whatever each of
+   them holds, as sets in different buckets have not met.
 
 Rules for odd input: null, empty and wordless texts have an empty set and link with nothing; a null doc_id is
 never a component's id while another is reachable (else the id is null); repeated rows each give a row;
@@ -42,6 +43,8 @@ BROADCAST_IDS = 2_000_000
 CHUNK = 1 << 14
 
 POSTING = np.dtype([("shingle", "<u8"), ("set", "<i8"), ("size", "<u4"), ("pos", "<u4")])
+#: A bit of pos: the shingle is dealt over several buckets.
+SALTED = np.uint32(1 << 31)
 
 
 def _named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -104,20 +107,23 @@ def profile(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
 def postings(docs: DataFrame, sketch: np.ndarray, buckets: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The prefixes of all sets, dealt into buckets by shingle, as packed arrays; a set once a task however many copies it has.
 
-    A shingle that the sketch knows to be in more sets than a bucket should hold is split over several buckets.
+    A shingle that the sketch takes to be in more sets than a bucket should hold is split over several buckets, and
+    its postings are marked SALTED. The sketch also counts copies and what shares a counter, so such a shingle can
+    have few sets; a row's mean is taken off, so that a large input alone does not mark every shingle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
         order, seen = sent.value, set()
-        hot = BUCKET_POSTINGS // 4
+        hot, noise = BUCKET_POSTINGS // 4, [int(row.mean()) for row in order]
         for batch in batches:
             made, n = [], 0
 
             def flush():
                 rows = np.concatenate(made)
                 cells = sh.sketch_cells(rows["shingle"])
-                count = np.minimum.reduce([order[r][cells[r]] for r in range(sh.SKETCH_ROWS)])
+                count = np.minimum.reduce([order[r][cells[r]] - noise[r] for r in range(sh.SKETCH_ROWS)])
+                rows["pos"][count > hot] |= SALTED
                 salt = np.where(count > hot, sh.mix(rows["set"].view(np.uint64)) % (count // hot + 1).astype(np.uint64), 0).astype(np.uint64)
                 with np.errstate(over="ignore"):
                     bucket = sh.mix(rows["shingle"] + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)
@@ -148,9 +154,9 @@ def postings(docs: DataFrame, sketch: np.ndarray, buckets: int, doc_id: str = "d
 
 
 def meet(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a bucket's postings: the candidate pairs (two columns, less first, distinct), and the postings at crowded shingles."""
+    """Of a bucket's postings: the candidate pairs (two columns, less first, distinct), and the postings at crowded or salted shingles."""
     none = np.empty((0, 2), np.int64), rows[:0]
-    if len(rows) < 2:
+    if not len(rows):
         return none
     rows = rows[np.lexsort((rows["set"], rows["size"], rows["shingle"]))]
     same = (rows["shingle"][1:] == rows["shingle"][:-1]) & (rows["set"][1:] == rows["set"][:-1])
@@ -158,14 +164,16 @@ def meet(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.concatenate(([True], rows["shingle"][1:] != rows["shingle"][:-1])))
     length = np.diff(np.append(first, len(rows)))
     end, length = np.repeat(first + length, length), np.repeat(length, length)
-    rows, keep = rows[length > 1], np.flatnonzero(length > 1)
+    salted = rows["pos"] >= SALTED  # other buckets hold more of the shingle's sets
+    keep = np.flatnonzero((length > 1) | salted)
+    rows, salted = rows[keep], salted[keep]
     if not len(rows):
         return none
     place = np.cumsum(np.ones(len(keep), np.int64)) - 1
     end, length = place + (end[keep] - keep), length[keep]  # within the kept rows
     crowded = length > CROWD
     reach = np.where(crowded, NEIGHBOURS, CROWD)
-    size, pos = rows["size"].astype(np.int64), rows["pos"].astype(np.int64)
+    size, pos = rows["size"].astype(np.int64), (rows["pos"] & ~SALTED).astype(np.int64)
     pairs, i, d = [], place, 0
     while True:
         d += 1
@@ -177,7 +185,7 @@ def meet(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near &= 7 * (1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1) >= 3 * (size[i] + size[j])  # position
         a, b = rows["set"][i[near]], rows["set"][j[near]]
         pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-    return np.unique(np.concatenate(pairs), axis=0) if pairs else none[0], rows[crowded]
+    return np.unique(np.concatenate(pairs), axis=0) if pairs else none[0], rows[crowded | salted]
 
 
 def suffix_differs(a: np.ndarray, b: np.ndarray, ranges: int = 16) -> bool:
