@@ -100,6 +100,17 @@ def test_decontamination_edges_and_blocks(spark):
     assert decontaminate.find_hits(empty_docs(spark), bench).collect() == []
 
 
+def test_decontamination_words_hold_white_space_beyond_ascii(spark):
+    odd = ["Avez-vous vu\u00a0: le chat\u00a0noir\u00a0?", "\u4e2d\u6587\u3000\u4e2d\u6587 a\u2028b c\u202fd e\u0085f"]
+    bench = spark.createDataFrame([(str(k), t) for k, t in enumerate(odd)], "item_id string, text string")
+    texts = [f"before {t} after" for t in odd] + ["".join(" " if c.isspace() else c for c in t) for t in odd]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.digest(decontaminate.find_hits(docs, bench)).collect()}
+    assert got == {i: brute_hits(t, [(str(k), x) for k, x in enumerate(odd)]) for i, t in enumerate(texts)}
+    assert [got[i][4] for i in range(4)] == [True, True, False, False]
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {2, 3}
+
+
 def brute_quality(text):
     w, places, covered = space_words(text), defaultdict(list), set()
     for i in range(len(w) - 2):

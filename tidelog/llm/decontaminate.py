@@ -44,7 +44,7 @@ def automaton(items: tuple[tuple[str | None, bytes], ...], window: int):
     """Window to (number of words, item ids), for iterating over a normalised text."""
     found: dict[str, tuple[int, set]] = {}
     for item, text in items:
-        words = normalise(text).split()
+        words = [w for w in normalise(text).split(" ") if w]  # other white space is part of words
         n = min(window, len(words))
         for i in range(len(words) - n + 1 if n else 0):
             found.setdefault(f" {' '.join(words[i : i + n])} ", (n, set()))[1].add(item)
