@@ -166,6 +166,13 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert again == {i: r["score"] for i, r in got.items()}
 
 
+def test_quality_drops_junk_that_passes_the_base_rules(spark):
+    sf = "/root/testdata/sf0.01"
+    got = QUERIES["op4_quality_rules"](spark, sf).where("not base_failed")
+    n = {r["quality"]: (r["n"], r["kept"]) for r in got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert n[0][0] > 20 and n[0][1] == 0 and n[1][1] >= 0.97 * n[1][0]
+
+
 def brute_spans(text):
     out = []
     for rank, rule in enumerate(secrets.RULES):

@@ -24,7 +24,7 @@ from .expressions import at, let, numbers, words
 BUCKETS = 1 << 12
 SHIFT = 16
 #: Least score, in log units per n-gram, that the method keeps.
-THRESHOLD = -0.06
+THRESHOLD = -0.03
 #: Trusted ids up to which they are sent to every task (16 bytes each); beyond, the join is a shuffle.
 BROADCAST_IDS = 1_000_000
 MIN_WORDS = 50
