@@ -222,6 +222,29 @@ def test_pii(spark):
     assert pii.replace(df.limit(0), "k").collect() == []
 
 
+def test_pii_card_groupings_and_international_phones(spark):
+    cards = ["3056 930902 5904", "41111111 11111111", "4111 1111 1111 1", "4111 1111 1111 1111 123", "4539-1488-0343-6467", "3782 822463 10005", "411111 1111111111 11", "4539148803436467"]
+    phones = ["+49 30 1234567", "+33 1 23 45 67 89", "+34 612 345 678", "+15551234567", "+49 (0)30/1234567", "+44 20 7946 0958", "+1 (988) 555-2485", "+33\u00a01\u00a023\u00a045\u00a067\u00a089"]
+    country = [3, 3, 3, 2, 3, 3, 2, 3]
+    left = ["2026-11-26 12:42", "+5 or +1234", "1 2 3 4 5 6", "12345678 9012"]
+    run = "id 12345 4539 1488 0343 6467 end, 3056 930902 5904 4539 1488 0343 6467"
+    texts = [f"x {t}, y" for t in cards + phones + left] + [run, "(555) 123-4567"]
+    got = [r["text"] for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), "k").orderBy("doc_id").collect()]
+    shape = lambda t: re.sub("[0-9]", "9", t)
+    for t, g in zip(texts, got, strict=True):
+        assert shape(t) == shape(g)
+    for t, g in zip(cards, got, strict=False):
+        a, b = re.sub("[^0-9]", "", t), re.sub("[^0-9]", "", g)
+        assert a[0] == b[0] and a[-6:] != b[-6:] and sum(x == y for x, y in zip(a, b, strict=True)) < 10, (t, g)
+    for t, g, n in zip(phones, got[len(cards) :], country, strict=False):
+        assert g[2 : 2 + n] == t[:n] and re.sub("[^0-9]", "", g)[-6:] != re.sub("[^0-9]", "", t)[-6:], (t, g)
+    assert got[len(cards) + len(phones) : -2] == texts[len(cards) + len(phones) : -2]
+    assert "4539 1488 0343 6467" not in got[-2] and "3056 930902 5904" not in got[-2] and "0343" not in got[-2]
+    digits = lambda g: re.sub("[^0-9]", "", g)
+    assert digits(got[-1]) == digits(got[len(cards) + 3])[1:]  # spellings of one number
+    assert digits(got[len(cards) + 1]) == digits(got[len(cards) + 7])
+
+
 def test_pii_surrogates_stay_distinct(spark, monkeypatch):
     """Names drawn from a tiny space collide at first; the check draws again, with the constant and with the join."""
     plain = pii.surrogate
