@@ -75,6 +75,14 @@ def test_decontamination_matches_sql(spark, sf):
     compare(QUERIES["op2_decontaminate"](spark, sf), ORACLE_SQL["op2_decontaminate"], sf)
 
 
+def test_decontamination_query_places_its_hits(spark, sf, monkeypatch):
+    seen, plain = [], decontaminate.digest
+    monkeypatch.setattr(decontaminate, "digest", lambda hits: seen.append(hits) or plain(hits))
+    QUERIES["op2_decontaminate"](spark, sf)
+    hit = seen[0].where("size(hit_words) > 0").collect()
+    assert hit and all(r["spans"] for r in hit)
+
+
 def test_decontamination_edges_and_blocks(spark):
     items = [("1", "Two, three FOUR!"), ("2", "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"), ("3", None), ("4", "..."), ("5", "ñandú"), ("2", "mu nu"), (None, "the end"), ("6", "x x x")]
     bench = spark.createDataFrame(items, "item_id string, text string")

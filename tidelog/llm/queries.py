@@ -30,7 +30,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import digest, find_hits
 
-    return digest(find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), spans=False))
+    return digest(find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
