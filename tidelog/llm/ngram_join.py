@@ -313,7 +313,11 @@ def crowd_links(crowded: DataFrame, roots: DataFrame, texts: DataFrame) -> DataF
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, n_shingles, set_id) and links (a, b) between sets that connect all that are connected."""
+    """Documents (doc_id, n_shingles, set_id) and links (a, b) between sets.
+
+    The links are a connecting subset, not all pairs of similar sets: every component is whole, but at crowded
+    shingles pairs inside a component are left out, so links of a document must not be counted from them.
+    """
     about, sketch = profile(docs, doc_id, text)
     kept = about.where("set_id is not null")
     reps = materialize(kept.groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("any_id")), "sets")
