@@ -35,7 +35,7 @@ def clashing(df):
     """Extra columns with names that operators use inside."""
     from pyspark.sql import functions as F
 
-    names = ["row_id", "w", "blob", "path", "set_id", "bucket", "digest", "size", "key", "block", "shard", "words", "content", "ids", "held_out", "part", "pos"]
+    names = ["row_id", "w", "blob", "path", "set_id", "bucket", "digest", "size", "key", "block", "shard", "words", "content", "ids", "held_out", "part", "pos", "join_row", "pii_row", "pii_map", "counts", "shingle", "root", "rule", "verdict", "u", "v", "score"]
     return df.select("*", *[F.lit("clash").alias(n) for n in names if n not in df.columns])
 
 

@@ -7,7 +7,7 @@ import pytest
 
 from tests.llm.helpers import clashing, documents, edge_docs, empty_docs, rows, space_words
 from tests.oracle import compare
-from tidelog.llm import ngram_join, shingles
+from tidelog.llm import common, ngram_join, shingles
 from tidelog.llm.components import components
 from tidelog.llm.queries import ORACLE_SQL, QUERIES
 
@@ -76,18 +76,47 @@ def test_groups_of_near_copies(spark, seed, monkeypatch):
     assert found(frame(spark, texts)) == brute(list(enumerate(texts)))
 
 
-def test_few_near_copies_of_a_text_with_many_copies(spark, monkeypatch):
-    """Copies make a text's shingles hot in the sketch, so they are salted; its near copies still link across buckets."""
-    monkeypatch.setattr(ngram_join, "BUCKET_POSTINGS", 16)
-    texts = variants(5, 14, 80, 3) + [" ".join(f"w5x{i}" for i in range(80))] * 300 + variants(6, 3, 40, 1)
+@pytest.mark.parametrize("postings", [16, 256, 4096])
+def test_few_near_copies_of_a_text_with_many_copies(spark, monkeypatch, postings):
+    """Copies make a text's shingles hot in the sketch; with many buckets its near copies still link."""
+    monkeypatch.setattr(ngram_join, "BUCKET_POSTINGS", postings)
+    r = random.Random(7)
+    other = [" ".join(f"f{r.randrange(10**9)}" for _ in range(40)) for _ in range(postings // 4)]
+    texts = other + variants(5, 14, 80, 3) + [" ".join(f"w5x{i}" for i in range(80))] * 300 + variants(6, 3, 40, 1)
     random.Random(5).shuffle(texts)
     assert found(frame(spark, texts)) == brute(list(enumerate(texts)))
 
 
-def test_salted_postings_are_passed_on():
-    row = np.array([(7, 1, 40, 3 | ngram_join.SALTED)], ngram_join.POSTING)
-    pairs, crowd = ngram_join.meet(row)
-    assert not len(pairs) and crowd["set"].tolist() == [1]
+def test_near_copies_beyond_what_a_bucket_holds(spark, monkeypatch):
+    """Distinct sets at one shingle, more than a bucket holds: the stream of postings passes them on."""
+    monkeypatch.setattr(ngram_join, "BUCKET_POSTINGS", 32)
+    monkeypatch.setattr(ngram_join, "hot_limits", lambda sketch: np.full(len(sketch), 1 << 30))
+    texts = variants(8, 160, 60, 6) + variants(9, 40, 25, 1)
+    random.Random(5).shuffle(texts)
+    assert found(frame(spark, texts)) == brute(list(enumerate(texts)))
+
+
+def test_a_bucket_holds_no_more_than_it_should(monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUCKET_POSTINGS", 8)
+    rows = np.zeros(100, ngram_join.POSTING)
+    rows["shingle"], rows["set"], rows["size"] = 7, np.arange(100), 40
+    rows["shingle"][::10] = 9
+    bucket = ngram_join.Bucket(False)
+    out = np.concatenate([bucket.add(rows[k : k + 5]) for k in range(0, 100, 5)])
+    assert bucket.n <= 32 and set(bucket.gone.tolist()) >= {7}
+    pairs, crowd = bucket.finish()
+    assert len(out) + len(crowd) + len(np.unique(pairs)) >= 100 and not set(out["set"]) & set(np.unique(pairs).tolist())
+    assert len(ngram_join.Bucket(True).add(rows)) == 100
+
+
+def test_sketch_grows_with_the_documents():
+    assert [shingles.sketch_bits(n) for n in (0, 1, 4 << 20, (4 << 20) + 1, 10 << 20, 1 << 40)] == [18, 18, 18, 19, 20, 22]
+
+
+def test_tables_on_the_way_are_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    ngram_join.cluster(frame(spark, variants(3, 60, 40, 3))).collect()
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["members", "profile"]
 
 
 def test_edges(spark):
@@ -95,7 +124,7 @@ def test_edges(spark):
     assert found(clashing(docs)) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert found(empty_docs(spark)) == []
     kept = ngram_join.first_of_each(clashing(docs))
-    assert kept.columns == clashing(docs).columns
+    assert kept.columns == clashing(docs).columns and {r["join_row"] for r in kept.collect()} == {"clash"}
     assert sorted(space_words(r["text"])[0] for r in kept.collect() if r["text"] and r["text"].strip()) == sorted(["word", "ÀÉ", "alpha", "x", "one", "one"])
     unique = docs.where("doc_id is not null and doc_id <> 11")
     assert rows(ngram_join.first_of_each(unique), "doc_id") == [(i,) for i in ("1", "10", "2", "3", "4", "5", "6", "9") for i in [int(i)]]
@@ -119,7 +148,7 @@ def test_shingles_are_words_not_bytes():
 
 def test_prefixes_of_linked_sets_meet():
     r = np.random.default_rng(0)
-    sketch = r.integers(0, 50, (shingles.SKETCH_ROWS, 1 << shingles.SKETCH_BITS)).astype(np.int32)
+    sketch = r.integers(0, 50, (shingles.SKETCH_ROWS, 1 << 18)).astype(np.int32)
     for _ in range(300):
         n = int(r.integers(1, 80))
         a = np.unique(shingles.mix(r.integers(0, 1 << 62, n).astype(np.uint64)))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -23,25 +25,69 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidelog-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _local_dir()
     return found.rstrip("/")
 
 
+@functools.cache
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tidelog-")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+#: Open scopes, innermost last: the folders that each removes when it ends.
+_scopes: list[list[str]] = []
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders registered inside are removed at the end; those that are kept pass to the scope around it, if there is one."""
+    held: list[str] = []
+    _scopes.append(held)
+    try:
+        yield
+    finally:
+        _scopes.remove(held)
+        remove(spark, held)
+
+
+def register(path: str, keep: bool = False) -> str:
+    """Have a folder removed with the innermost scope, or with the one around that (keep) as a result still reads it."""
+    depth = 2 if keep else 1
+    if len(_scopes) >= depth:
+        _scopes[-depth].append(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
+    path = register(fresh_path(df.sparkSession, name), keep)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that the table does not have, in any case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a shared path, usable on any executor; without a scheme it is a local path."""
     return pafs.FileSystem.from_uri(uri)

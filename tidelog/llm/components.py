@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, scratch
 
 ROUNDS = 60
 #: Edges up to which one task finishes the work (about 100 MB); beyond, the rounds of stars do.
@@ -49,17 +49,19 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """set_id, root of every end of an edge (a, b): root is the least id that it is connected with."""
-    now = materialize(_contract(edges.select("a", "b")), "edges")
-    for _ in range(ROUNDS):
-        if now.count() <= LOCAL_EDGES:
-            now = materialize(_contract(now.coalesce(1)), "edges")
-            break
-        # Done when every greater end has one edge and no lesser end is a greater one: all are stars.
-        ends = now.groupBy("a").agg(F.count_distinct("b").alias("n"))
-        if not ends.where("n > 1").take(1) and not now.select(F.col("b").alias("a")).join(ends, "a", "left_semi").take(1):
-            break
-        now = materialize(_contract(materialize(_stars(now), "stars")), "edges")
-    else:
-        raise ValueError(f"components did not settle in {ROUNDS} rounds")
-    now = now.distinct()
-    return materialize(now.select(F.col("a").alias("set_id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("set_id"), F.col("b").alias("root")).distinct()), "components")
+    with scratch(edges.sparkSession):
+        now = materialize(_contract(edges.select("a", "b")), "edges")
+        for _ in range(ROUNDS):
+            if now.count() <= LOCAL_EDGES:
+                now = materialize(_contract(now.coalesce(1)), "edges")
+                break
+            # Done when every greater end has one edge and no lesser end is a greater one: all are stars.
+            ends = now.groupBy("a").agg(F.count_distinct("b").alias("n"))
+            if not ends.where("n > 1").take(1) and not now.select(F.col("b").alias("a")).join(ends, "a", "left_semi").take(1):
+                break
+            now = materialize(_contract(materialize(_stars(now), "stars")), "edges")
+        else:
+            raise ValueError(f"components did not settle in {ROUNDS} rounds")
+        now = now.distinct()
+        roots = now.select(F.col("b").alias("set_id"), F.col("b").alias("root")).distinct()
+        return materialize(now.select(F.col("a").alias("set_id"), F.col("b").alias("root")).unionByName(roots), "components", keep=True)

@@ -9,12 +9,15 @@
 4. Components over the links. Where many sets meet at one shingle, only neighbours by size are candidates at
    first; if that leaves several components at the shingle, the sets outside its largest one are compared with
    all of the others there, in blocks. So no link between components is lost, and a group of near copies is
-   not expanded into its pairs. A shingle that is dealt over several buckets goes the same way whatever each of
-   them holds, as sets in different buckets have not met.
+   not expanded into its pairs. A shingle with more sets than a task should hold goes straight to that step; a
+   wrong guess about which ones these are costs time, never a link.
 
-Rules for odd input: null, empty and wordless texts have an empty set and link with nothing; a null doc_id is
-never a component's id while another is reachable (else the id is null); repeated rows each give a row;
-component ids are the smallest doc_id; an empty table gives no rows; other columns are ignored.
+Tables on the way are removed from the shared folder when the result has been made.
+
+Rules for odd input: null, empty and wordless texts have an empty set and link with nothing; very long texts are
+taken whole, each in the memory of one task; a null doc_id is never a component's id while another is reachable
+(else the id is null); repeated rows each give a row; equally common shingles go by hash; component ids are the
+smallest doc_id; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,22 +32,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import input_columns, materialize, release
+from .common import input_columns, materialize, release, scratch, unused
 from .components import components
 
-#: Postings of one bucket (24 bytes each), and the sets that may meet at a shingle before it counts as crowded.
+#: Postings of one bucket (24 bytes each), of which a task holds at most HOLD buckets' worth at once.
 BUCKET_POSTINGS = 1 << 18
+HOLD = 4
+#: Sets that may meet at a shingle before it counts as crowded, and the neighbours that each then meets at first.
 CROWD = 32
 NEIGHBOURS = 2
 #: Sets compared with each other in one task of the last step.
-BLOCK_SETS = 1000
+BLOCK_SETS = 500
 #: Ids of candidate texts up to which they are sent to every task (16 bytes each); beyond, the join is a shuffle.
 BROADCAST_IDS = 2_000_000
 CHUNK = 1 << 14
 
 POSTING = np.dtype([("shingle", "<u8"), ("set", "<i8"), ("size", "<u4"), ("pos", "<u4")])
-#: A bit of pos: the shingle is dealt over several buckets.
-SALTED = np.uint32(1 << 31)
+MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("crowd", pa.bool_())])
 
 
 def _named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -58,16 +62,17 @@ def _sets(batch: pa.RecordBatch, column: str = "text"):
 def profile(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, np.ndarray]:
     """doc_id, n_shingles, set_id (null for an empty set) of every document, and the sketch over all shingles."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    bits = sh.sketch_bits(docs.count())
 
     def run(batches):
-        sketch = np.zeros((sh.SKETCH_ROWS, 1 << sh.SKETCH_BITS), np.int64)
+        sketch = np.zeros((sh.SKETCH_ROWS, 1 << bits), np.int64)
         for batch in batches:
             sizes, ids, held, n = [], [], [], 0
 
             def add():
-                cells = sh.sketch_cells(np.concatenate(held))
+                cells = sh.sketch_cells(np.concatenate(held), bits)
                 for r in range(sh.SKETCH_ROWS):
-                    sketch[r] += np.bincount(cells[r], minlength=1 << sh.SKETCH_BITS)
+                    sketch[r] += np.bincount(cells[r], minlength=1 << bits)
 
             for s in _sets(batch):
                 sizes.append(len(s))
@@ -87,7 +92,7 @@ def profile(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
         if used:
             yield pa.RecordBatch.from_pydict({"doc_id": [None] * len(used), "n_shingles": [None] * len(used), "set_id": [None] * len(used), "chunk": used, "counts": [flat[c].astype("<u4").tobytes() for c in used]}, schema)
 
-    both = materialize(_named(docs, doc_id, text).mapInArrow(run, "doc_id long, n_shingles long, set_id long, chunk int, counts binary"), "profile")
+    both = materialize(_named(docs, doc_id, text).mapInArrow(run, "doc_id long, n_shingles long, set_id long, chunk int, counts binary"), "profile", keep=True)
 
     def total(batches):
         sums: dict[int, np.ndarray] = {}
@@ -96,39 +101,43 @@ def profile(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
                 sums[chunk] = sums.get(chunk, 0) + np.frombuffer(raw, "<u4").astype(np.int64)
         yield pa.RecordBatch.from_pydict({"chunk": list(sums), "counts": [v.astype("<i8").tobytes() for v in sums.values()]}, pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]))
 
-    sketch = np.zeros((sh.SKETCH_ROWS << sh.SKETCH_BITS) // CHUNK * CHUNK, np.int64).reshape(-1, CHUNK)
+    sketch = np.zeros(sh.SKETCH_ROWS << bits, np.int64).reshape(-1, CHUNK)
     sums = both.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(total, "chunk int, counts binary")
-    for row in sums.collect():  # the sketch's fixed size, whatever the input's
+    for row in sums.collect():  # the sketch: at most 2 x 2^22 counters
         sketch[row["chunk"]] = np.frombuffer(row["counts"], "<i8")
     sketch = np.minimum(sketch, (1 << 31) - 1).astype(np.int32).reshape(sh.SKETCH_ROWS, -1)
     return both.where("chunk is null").select("doc_id", "n_shingles", "set_id"), sketch
 
 
+def hot_limits(sketch: np.ndarray) -> np.ndarray:
+    """For each row of the sketch, the count above which a shingle goes past the buckets.
+
+    A quarter of a bucket above the row's mean, or more where one counter in a thousand is larger: so a large input
+    does not send all its shingles that way.
+    """
+    return np.array([max(int(row.mean()) + BUCKET_POSTINGS // 4, int(np.quantile(row, 0.999))) for row in sketch])
+
+
 def postings(docs: DataFrame, sketch: np.ndarray, buckets: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The prefixes of all sets, dealt into buckets by shingle, as packed arrays; a set once a task however many copies it has.
 
-    A shingle that the sketch takes to be in more sets than a bucket should hold is split over several buckets, and
-    its postings are marked SALTED. The sketch also counts copies and what shares a counter, so such a shingle can
-    have few sets; a row's mean is taken off, so that a large input alone does not mark every shingle.
+    Shingles that the sketch takes to be hot are dealt by set into as many buckets more, which are passed on
+    untouched. The sketch also counts copies and what shares a counter, so some of them have few sets.
     """
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
         order, seen = sent.value, set()
-        hot, noise = BUCKET_POSTINGS // 4, [int(row.mean()) for row in order]
+        limits = hot_limits(order)[:, None]
         for batch in batches:
             made, n = [], 0
 
             def flush():
                 rows = np.concatenate(made)
-                cells = sh.sketch_cells(rows["shingle"])
-                count = np.minimum.reduce([order[r][cells[r]] - noise[r] for r in range(sh.SKETCH_ROWS)])
-                rows["pos"][count > hot] |= SALTED
-                salt = np.where(count > hot, sh.mix(rows["set"].view(np.uint64)) % (count // hot + 1).astype(np.uint64), 0).astype(np.uint64)
-                with np.errstate(over="ignore"):
-                    bucket = sh.mix(rows["shingle"] + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)
+                hot = (sh.estimates(rows["shingle"], order) > limits).all(0)
+                bucket = sh.mix(np.where(hot, rows["set"].view(np.uint64), rows["shingle"])) % np.uint64(buckets) + np.where(hot, np.uint64(buckets), np.uint64(0))
                 rows = rows[np.argsort(bucket, kind="stable")]
-                ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))
+                ends = np.cumsum(np.bincount(bucket.astype(np.int64), minlength=2 * buckets))
                 used = np.flatnonzero(np.diff(ends, prepend=0))
                 parts = [rows[ends[b - 1] if b else 0 : ends[b]].tobytes() for b in used.tolist()]
                 return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(parts, pa.binary())], names=["bucket", "rows"])
@@ -153,8 +162,65 @@ def postings(docs: DataFrame, sketch: np.ndarray, buckets: int, doc_id: str = "d
     return _named(docs, doc_id, text).select("text").mapInArrow(run, "bucket long, rows binary")
 
 
+class Bucket:
+    """The postings of one bucket as they come, in bounded memory: a shingle with too many of them is passed on as crowded."""
+
+    def __init__(self, passes: bool):
+        self.passes = passes
+        self.held: list[np.ndarray] = []
+        self.n, self.limit = 0, HOLD * BUCKET_POSTINGS
+        self.gone = np.empty(0, np.uint64)
+
+    def add(self, rows: np.ndarray) -> np.ndarray:
+        """Take postings; give those that are crowded already."""
+        if self.passes:
+            return rows
+        out = np.isin(rows["shingle"], self.gone) if len(self.gone) else np.zeros(len(rows), bool)
+        crowd = [rows[out]]
+        self.held.append(rows[~out])
+        self.n += len(self.held[-1])
+        if self.n > self.limit:
+            rows = np.concatenate(self.held)
+            which, count = np.unique(rows["shingle"], return_counts=True)
+            more = which[count > BUCKET_POSTINGS // 4]
+            self.gone = np.union1d(self.gone, more)
+            out = np.isin(rows["shingle"], more)
+            crowd.append(rows[out])
+            self.held, self.n = [rows[~out]], int((~out).sum())
+            self.limit = max(self.limit, 2 * self.n)
+        return np.concatenate(crowd)
+
+    def finish(self) -> tuple[np.ndarray, np.ndarray]:
+        return meet(np.concatenate(self.held) if self.held else np.empty(0, POSTING))
+
+
+def meet_all(dealt: DataFrame, buckets: int) -> DataFrame:
+    """(a, b) of candidate pairs, or set and shingle of crowded postings (crowd), of all buckets."""
+
+    def rows_of(pairs: np.ndarray, crowd: np.ndarray) -> pa.RecordBatch:
+        a, b = np.concatenate([pairs[:, 0], crowd["set"]]), np.concatenate([pairs[:, 1], crowd["shingle"].view(np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.repeat([False, True], [len(pairs), len(crowd)]))], schema=MET)
+
+    def run(batches):
+        none, now, bucket = np.empty((0, 2), np.int64), None, None
+        for batch in batches:
+            for which, raw in zip(batch.column("bucket").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                if which != now:
+                    if bucket:
+                        yield rows_of(*bucket.finish())
+                    now, bucket = which, Bucket(which >= buckets)
+                crowd = bucket.add(np.frombuffer(raw, POSTING))
+                if len(crowd):
+                    yield rows_of(none, crowd)
+        if bucket:
+            yield rows_of(*bucket.finish())
+        release()
+
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, crowd boolean")
+
+
 def meet(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a bucket's postings: the candidate pairs (two columns, less first, distinct), and the postings at crowded or salted shingles."""
+    """Of a bucket's postings: the candidate pairs (two columns, less first, distinct), and the postings at crowded shingles."""
     none = np.empty((0, 2), np.int64), rows[:0]
     if not len(rows):
         return none
@@ -164,16 +230,15 @@ def meet(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(np.concatenate(([True], rows["shingle"][1:] != rows["shingle"][:-1])))
     length = np.diff(np.append(first, len(rows)))
     end, length = np.repeat(first + length, length), np.repeat(length, length)
-    salted = rows["pos"] >= SALTED  # other buckets hold more of the shingle's sets
-    keep = np.flatnonzero((length > 1) | salted)
-    rows, salted = rows[keep], salted[keep]
+    keep = np.flatnonzero(length > 1)
+    rows = rows[keep]
     if not len(rows):
         return none
     place = np.cumsum(np.ones(len(keep), np.int64)) - 1
     end, length = place + (end[keep] - keep), length[keep]  # within the kept rows
     crowded = length > CROWD
     reach = np.where(crowded, NEIGHBOURS, CROWD)
-    size, pos = rows["size"].astype(np.int64), (rows["pos"] & ~SALTED).astype(np.int64)
+    size, pos = rows["size"].astype(np.int64), rows["pos"].astype(np.int64)
     pairs, i, d = [], place, 0
     while True:
         d += 1
@@ -185,7 +250,7 @@ def meet(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near &= 7 * (1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1) >= 3 * (size[i] + size[j])  # position
         a, b = rows["set"][i[near]], rows["set"][j[near]]
         pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-    return np.unique(np.concatenate(pairs), axis=0) if pairs else none[0], rows[crowded | salted]
+    return np.unique(np.concatenate(pairs), axis=0) if pairs else none[0], rows[crowded]
 
 
 def suffix_differs(a: np.ndarray, b: np.ndarray, ranges: int = 16) -> bool:
@@ -318,17 +383,13 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[D
     The links are a connecting subset, not all pairs of similar sets: every component is whole, but at crowded
     shingles pairs inside a component are left out, so links of a document must not be counted from them.
     """
-    about, sketch = profile(docs, doc_id, text)
+    about, sketch = profile(docs, doc_id, text)  # the sketch has a bounded size
     kept = about.where("set_id is not null")
     reps = materialize(kept.groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("any_id")), "sets")
     total = reps.agg(F.sum(F.expr("n - (3 * n + 3) div 4 + 1")).alias("p")).first()["p"] or 0
     buckets = max(1, -(-total // BUCKET_POSTINGS))
 
-    def run(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
-        pairs, crowd = meet(np.frombuffer(b"".join(group["rows"]), POSTING))
-        return pd.DataFrame({"a": np.concatenate([pairs[:, 0], crowd["set"]]), "b": np.concatenate([pairs[:, 1], crowd["shingle"].view(np.int64)]), "crowd": np.repeat([False, True], [len(pairs), len(crowd)])})
-
-    met = materialize(postings(docs, sketch, buckets, doc_id, text).groupBy("bucket").applyInPandas(run, "a long, b long, crowd boolean"), "met")
+    met = materialize(meet_all(postings(docs, sketch, buckets, doc_id, text), buckets), "met")
     pairs = materialize(met.where("not crowd").select("a", "b").distinct(), "pairs")
     crowded = met.where("crowd").select(F.col("a").alias("set_id"), F.col("b").alias("shingle"))
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(crowded.select("set_id")).distinct()
@@ -343,13 +404,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[D
 
 def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    about, links = join(docs, doc_id, text)
-    least = about.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    roots = components(links)
-    rooted = least.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    rooted = materialize(rooted.where("n > 1 or root <> set_id or least is null").select("set_id", "root", "least").unionByName(roots.where("root = set_id").join(least, "set_id").select("set_id", "root", "least")).distinct(), "classes")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = materialize(rooted.join(ids, "root").select("set_id", "component_id"), "members")
+    with scratch(docs.sparkSession):
+        about, links = join(docs, doc_id, text)
+        least = about.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+        roots = components(links)
+        rooted = least.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        rooted = materialize(rooted.where("n > 1 or root <> set_id or least is null").select("set_id", "root", "least").unionByName(roots.where("root = set_id").join(least, "set_id").select("set_id", "root", "least")).distinct(), "classes")
+        ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        member = materialize(rooted.join(ids, "root").select("set_id", "component_id"), "members", keep=True)
     return about.join(member, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
@@ -360,8 +422,9 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """
     ids = docs.select(F.col(f"`{doc_id}`").alias("i"))
     odd = ids.where("i is null").take(1) or ids.groupBy("i").count().where("count > 1").take(1)
-    key = "__join_row" if odd else doc_id
-    rows = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "join-docs") if odd else docs
-    gone = materialize(cluster(rows, key, text).where("component_id <> doc_id").select(F.col("doc_id").alias(key)), "join-gone")
+    key = unused(docs, "join_row") if odd else doc_id
+    with scratch(docs.sparkSession):
+        rows = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "join-docs", keep=True) if odd else docs
+        gone = materialize(cluster(rows, key, text).where("component_id <> doc_id").select(F.col("doc_id").alias(key)), "join-gone", keep=True)
     out = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,8 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 WORDS = 5
-#: Counters of one row of the sketch, and its rows; a shingle's count is the least of its counters.
-SKETCH_BITS = 18
+#: A sketch's rows; a shingle's count is the least of its counters, one a row.
 SKETCH_ROWS = 2
 
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -67,17 +66,26 @@ def set_id(shingle_set: np.ndarray) -> int:
         return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
-def sketch_cells(shingle_set: np.ndarray) -> np.ndarray:
+def sketch_bits(documents: int) -> int:
+    """A row has 2^18 counters up to 4 million documents, then as many more as there are more documents, up to 2^22 (32 MB in all)."""
+    return min(22, 18 + (max(documents - 1, 0) >> 22).bit_length())
+
+
+def sketch_cells(shingle_set: np.ndarray, bits: int) -> np.ndarray:
     """The counters of each shingle, one row for each row of the sketch."""
-    mask = np.uint64((1 << SKETCH_BITS) - 1)
-    return np.stack([(shingle_set >> np.uint64(r * SKETCH_BITS)) & mask for r in range(SKETCH_ROWS)]).astype(np.int64)
+    mask = np.uint64((1 << bits) - 1)
+    return np.stack([(shingle_set >> np.uint64(r * bits)) & mask for r in range(SKETCH_ROWS)]).astype(np.int64)
+
+
+def estimates(shingle_set: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Each shingle's counters, one row for each row of the sketch."""
+    cells = sketch_cells(shingle_set, sketch.shape[1].bit_length() - 1)
+    return np.stack([sketch[r][cells[r]] for r in range(SKETCH_ROWS)])
 
 
 def rare_first(shingle_set: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """The set in the global order: by estimated count, then by hash."""
-    cells = sketch_cells(shingle_set)
-    count = np.minimum.reduce([sketch[r][cells[r]] for r in range(SKETCH_ROWS)])
-    return shingle_set[np.argsort(count, kind="stable")]
+    return shingle_set[np.argsort(estimates(shingle_set, sketch).min(0), kind="stable")]
 
 
 def prefix_size(n):
