@@ -1,8 +1,9 @@
 """Packing of token sequences by best-fit decreasing.
 
-Rules for odd input: a null text is an empty one (its document is the end id alone); a null doc_id stays null;
-repeated rows are packed once each; ties in length go by doc_id, start and crc; an empty table gives no rows;
-columns other than the two named ones are ignored.
+Rules for odd input: a null text is an empty one (its document is the end id alone); a very long text is encoded
+whole, in one task's memory, and cut into as many windows as it needs; a null doc_id stays null; repeated rows are
+packed once each and dealt over all shards; ties in length go by doc_id, start and crc; an empty table gives no
+rows; columns other than the two named ones are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,16 +100,16 @@ def pack(pieces: DataFrame, window: int = WINDOW, shard_pieces: int = SHARD_PIEC
     """
     shards = max(1, -(-pieces.count() // shard_pieces))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", na_position="first")
-        which, offsets = best_fit_decreasing(rows["length"].tolist(), window)
-        shard = int(rows["shard"].iloc[0])
-        rows["sequence_id"] = (shard << 32) + np.array(which, np.int64)
-        rows["offset"] = np.array(offsets, np.int64)
-        return rows.drop(columns="shard")
+    def run(rows: pa.Table) -> pa.Table:
+        order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start"))
+        which, offsets = best_fit_decreasing(rows["length"].to_pylist(), window)
+        sequence = (rows["shard"][0].as_py() << 32) + np.array(which, np.int64)
+        return rows.drop_columns("shard").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets, pa.int64()))
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(run, PACKED)
+    # The row's place keeps repeated rows apart, which would else meet in one shard.
+    place = F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())
+    return pieces.withColumn("shard", F.pmod(place, F.lit(shards))).groupBy("shard").applyInArrow(run, PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
