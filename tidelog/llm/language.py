@@ -7,19 +7,19 @@ second codeword, or far from all, are flagged as ambiguous.
 
 Learning takes at most SAMPLE_DOCS labelled texts, chosen by a hash of doc_id, about evenly over languages.
 
-Rules for odd input: a text that is null or without a letter gets "und", score 0, ambiguous; a row with null
-doc_id, lang or text is not learned from; with nothing to learn from, every text gets "und"; repeated rows each
+Rules for odd input: a text that is null or without a letter (Unicode category L) gets "und", score 0, ambiguous; a
+very long text is judged by all of it, in one task's memory; a row with null doc_id, lang or text is not learned from; with nothing to learn from, every text gets "und"; repeated rows each
 give a row; ties go to the language first in code-point order; an empty table gives no rows; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
-import re
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ ORDERS = 4
 #: Flagged: the second language's share above this, or this share of the weighted bits wrong.
 SECOND, WRONG = 0.25, 0.25
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SPACES = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 #: Odd multipliers, one an order, that spread n-grams over the buckets.
 _SPREAD = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)
