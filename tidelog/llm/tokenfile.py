@@ -9,8 +9,9 @@ ids) and the documents' ids and lengths.
     block  = LANES states of 8 bytes, then 4-byte words in the decoder's order
     footer = counts (scale, table crc32, blocks, documents, ids), checkpoints, doc nulls, doc ids, doc lengths
 
-Rules for odd input: null text is an empty one (the document is the end id alone); a null doc_id sorts first;
-repeated doc_ids go by text; an empty table gives no files and no rows; other columns are ignored.
+Rules for odd input: null text is an empty one (the document is the end id alone); a very long text is encoded
+whole, in one task's memory, and makes a longer file; a null doc_id sorts first; repeated doc_ids go by text; an
+empty table gives no files and no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_path, input_columns, spread, write_file
+from .common import filesystem, fresh_path, input_columns, materialize, register, scratch, spread, write_file
 from .tokens import encoded, tokenizer
 
 MAGIC = b"TIDErANS"
@@ -202,8 +203,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, doc
 
     Documents are dealt by ranges of doc_id once, as texts; their ids are kept (2 or 4 bytes each) until all
     are counted, then coded. A file counts only if the manifest names it, so a lost or repeated task does no harm.
-    Manifest: path, n_docs, n_tokens, start (ids in all files before it).
+    Manifest: path, n_docs, n_tokens, start (ids in all files before it, by a prefix sum over the tasks and one in each).
     """
+    with scratch(docs.sparkSession):
+        return _write(docs, tokenizer_path, end_id, doc_id, text, file_ids)
+
+
+def _write(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str, text: str, file_ids: int) -> tuple[DataFrame, np.ndarray]:
     spark = docs.sparkSession
     named = input_columns(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
@@ -223,7 +229,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, doc
             n = len(pieces)
             yield pa.RecordBatch.from_arrays([pa.array([part_no] * n, pa.int32()), pa.array([-1 - k for k in range(n)], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(pieces, pa.binary())], names=["part", "pos", "doc_id", "ids", "counts"])
 
-    path = fresh_path(spark, "ids")
+    path = register(fresh_path(spark, "ids"))
     ordered = named.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(tokenise, "part int, pos long, doc_id long, ids binary, counts binary").write.option("compression", "zstd").parquet(path)
     held = spark.read.parquet(path)
@@ -265,13 +271,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, doc
         if key:
             yield flush()
 
-    files = fresh_path(spark, "token-manifest")
+    files = register(fresh_path(spark, "token-parts"))
     held.where("pos >= 0").select("part", "pos", "doc_id", "ids").mapInArrow(write, "part int, pos long, path string, n_docs long, n_tokens long").write.parquet(files)
-    rows, start, out = sorted(spark.read.parquet(files).collect()), 0, []  # one row a file
-    for r in rows:
-        out.append((r["path"], r["n_docs"], r["n_tokens"], start))
-        start += r["n_tokens"]
-    return spark.createDataFrame(out, "path string, n_docs long, n_tokens long, start long"), freq
+    made = spark.read.parquet(files)
+    parts = made.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row a task that wrote
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("pos")) - F.col("n_tokens")
+    manifest = made.join(F.broadcast(before), "part").select("path", "n_docs", "n_tokens", (F.col("base") + inside).alias("start"))
+    return materialize(manifest, "token-manifest", keep=True), freq
 
 
 def read_token_files(manifest: DataFrame, freq: np.ndarray, read_ids: int = READ_IDS) -> DataFrame:
