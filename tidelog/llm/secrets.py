@@ -5,8 +5,10 @@ ledger has not seen together are scanned, each blob once however many paths hold
 blob and run; findings are joined back to all paths. Spans are code points, end exclusive; a rule's matches are
 leftmost and don't overlap, and one whose secret is too short is dropped with what it covers.
 
-Rules for odd input: null content is an empty blob; repeated rows and null paths each give a row; an empty table
-gives no rows; columns other than the named ones are ignored; a new version of a rule is scanned for as a new rule.
+Rules for odd input: null content is an empty blob; very long texts are scanned whole, in one task's memory; findings
+at one place go by the rules' order; repeated rows and null paths each give a row; an empty table gives no rows;
+columns other than the named ones are ignored, whatever their names; a new version of a rule is scanned for as a new
+rule; a blob that two scans met at once is in the ledger twice, and its findings count once.
 """
 
 from __future__ import annotations
@@ -17,7 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_path, input_columns
-from .expressions import let, matches
+from .expressions import let, matches, numbers
+
+
+#: Matches of a text that are placed together: a text with very many of them takes time in proportion to their number.
+STEPS = 512
 
 
 class Rule(NamedTuple):
@@ -54,17 +60,23 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
     """A rule's findings in a text, from the lengths of its matches and of what lies between them."""
     none = F.array().cast(FINDING)
 
+    def step(acc: Column, s: Column) -> Column:
+        start = acc["at"] + s["gap"]
+        finding = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + s["size"]).alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("rule"))
+        return F.when(s["size"].isNull(), acc).otherwise(F.struct((start + s["size"]).alias("at"), F.when(s["secret"] >= rule.least, F.concat(acc["out"], F.array(finding))).otherwise(acc["out"]).alias("out")))
+
     def placed(found: Column) -> Column:
         steps = F.zip_with(found["between"], found["whole"], lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("size")))
         steps = F.zip_with(steps, found["secret"], lambda s, x: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), F.length(x).alias("secret")))
-        begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-        def step(acc: Column, s: Column) -> Column:
-            start = acc["at"] + s["gap"]
-            finding = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + s["size"]).alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.key).alias("rule"))
-            return F.when(s["size"].isNull(), acc).otherwise(F.struct((start + s["size"]).alias("at"), F.when(s["secret"] >= rule.least, F.concat(acc["out"], F.array(finding))).otherwise(acc["out"]).alias("out")))
+        chunks = let(steps, lambda t: F.transform(numbers(0, F.ceil(F.size(t) / STEPS).cast("int") - 1), lambda k: F.slice(t, k * STEPS + 1, F.lit(STEPS))))
+        return let(chunks, whole)
 
-        return F.aggregate(steps, begin, step)["out"]
+    def whole(chunks: Column) -> Column:
+        zero = F.lit(0)
+        sizes = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda a, s: a + s["gap"] + F.coalesce(s["size"], zero)))
+        first = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+        begins = F.aggregate(sizes, first, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+        return F.flatten(F.zip_with(chunks, begins, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("out")), step)["out"]))
 
     found = F.struct(F.split(text, rule.pattern, -1).alias("between"), matches(text, rule.pattern).alias("whole"), matches(text, rule.pattern, rule.group).alias("secret"))
     return F.when(text.rlike(rule.pattern), let(found, placed)).otherwise(none)
@@ -86,7 +98,7 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: str | Non
     found = [F.when(F.array_contains("new", r.key), spans(F.col("content"), r, i)).otherwise(F.array().cast(FINDING)) for i, r in enumerate(rules)]
     todo.select("blob", F.col("new").alias("seen"), F.concat(*found).alias("findings")).write.mode("append").parquet(ledger)
     current = spark.read.schema(LEDGER).parquet(ledger).select("blob", F.filter("findings", lambda f: F.array_contains(keys, f["rule"])).alias("findings")).where(F.size("findings") > 0)
-    current = current.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("findings"))
+    current = current.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings"))
     return named.select("path", "blob").join(current, "blob", "left").select("path", "blob", F.coalesce("findings", F.array().cast(FINDING)).alias("findings"))
 
 
