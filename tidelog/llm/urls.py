@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from .common import input_columns, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bits of the filter for each listed URL, and the most blocks of 64 bits (16 MB as a table of blocks).
+#: Bits of the filter for each listed URL or host; it grows with the list, so it never fills up.
 BITS_EACH = 16
-MOST_BLOCKS = 1 << 20
+#: Blocks of 64 bits up to which the filter is sent to every task (about 100 MB); beyond, it is merge-joined.
+BROADCAST_BLOCKS = 1 << 21
 
 
 def host_of(url: Column) -> Column:
@@ -45,27 +46,37 @@ def _mask(key: Column) -> Column:
 
 def build_filter(listed: DataFrame, n: int) -> tuple[DataFrame, int]:
     """Blocks of the filter (block, bits) over column key, and how many blocks there can be."""
-    blocks = min(MOST_BLOCKS, 1 << max(0, (n * BITS_EACH // 64).bit_length()))
+    blocks = 1 << max(0, (n * BITS_EACH // 64).bit_length())
     return listed.groupBy(_block(F.col("key"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("key"))).alias("bits")), blocks
 
 
+def probe(keys: DataFrame, bloom: DataFrame, blocks: int) -> DataFrame:
+    """The rows whose key may be listed."""
+    sent = F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom.hint("merge")
+    found = keys.withColumn("block", _block(F.col("key"), blocks)).join(sent, "block")
+    return found.where(F.col("bits").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key"))).select(*keys.columns)
+
+
 def judge(pages: DataFrame, listed: DataFrame, default: str = "allow", page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict of every page. listed: host, path, verdict (allow or block)."""
     rules = listed.select(F.col("host").cast("string"), F.col("path").cast("string"), F.col("verdict").cast("string")).dropna()
-    rules = rules.select(F.concat("host", "path").alias("key"), F.length("path").alias("path_size"), F.size(F.split("host", r"\.", -1)).alias("labels"), "verdict")
-    rules = materialize(rules.groupBy("key").agg(F.first("path_size").alias("path_size"), F.first("labels").alias("labels"), F.max("verdict").alias("verdict")), "url-list")
-    # Sizes that are listed: at most a few hundred numbers.
-    about = rules.agg(F.count("*").alias("n"), F.collect_set("path_size").alias("paths"), F.collect_set("labels").alias("labels")).first()
+    # A page's path is empty or starts with a slash, and its host has none: other rows never fit, and a key has one host.
+    rules = rules.where("(path = '' or path like '/%') and host not like '%/%'").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    rules = materialize(rules.select(F.concat("host", "path").alias("key"), "host", F.length("path").alias("size"), "verdict"), "url-rules")
+    hosts = materialize(rules.groupBy("host").agg(F.collect_set("size").alias("sizes")), "url-hosts")
+    labels = F.size(F.split("host", r"\.", -1))
+    about = hosts.agg(F.count("*").alias("n"), F.collect_set(labels).alias("labels")).first()  # numbers of labels: few
     named = input_columns(pages, page_id=page_id, url=url)
     base = named.select(F.monotonically_increasing_id().alias("row_id"), F.col("page_id").cast("long"), host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
     if not about["n"]:
         return base.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     base = materialize(base, "urls")
+    bloom, blocks = build_filter(rules.select("key").unionByName(hosts.select(F.col("host").alias("key"))), rules.count() + about["n"])
+    bloom = materialize(bloom, "url-filter")
     parts, sizes = F.split("host", r"\.", -1), F.array(*[F.lit(s) for s in sorted(about["labels"])])
     suffixes = F.transform(F.filter(sizes, lambda s: s <= F.size(parts)), lambda s: F.array_join(F.slice(parts, F.size(parts) - s + 1, s), "."))
-    prefixes = F.transform(F.filter(F.array(*[F.lit(s) for s in sorted(about["paths"])]), lambda s: s <= F.length("path")), lambda s: F.substring(F.col("path"), F.lit(1), s))
-    keys = base.select("row_id", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).select("row_id", "suffix", F.explode("prefixes").alias("prefix")).select("row_id", F.concat("suffix", "prefix").alias("key"))
-    bloom, blocks = build_filter(rules, about["n"])
-    possible = keys.withColumn("block", _block(F.col("key"), blocks)).join(F.broadcast(bloom), "block").where(F.col("bits").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key"))).select("row_id", "key")
+    near = probe(base.select("row_id", "path", F.explode(suffixes).alias("key")), bloom, blocks).join(hosts, F.col("key") == hosts["host"])
+    prefixes = F.transform(F.filter("sizes", lambda s: s <= F.length("path")), lambda s: F.concat("key", F.substring("path", F.lit(1), s)))
+    possible = probe(near.select("row_id", F.explode(prefixes).alias("key")), bloom, blocks)
     hits = possible.join(rules.select("key", "verdict"), "key").groupBy("row_id").agg(F.max_by(F.struct("key", "verdict"), F.struct(F.length("key"), "verdict")).alias("best"))
     return base.join(hits, "row_id", "left").select("page_id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
