@@ -37,6 +37,16 @@ def test_tokenizer_equals_the_library(spark, sf, direct):
             assert ids[bounds[i] : bounds[i + 1]].tolist() == direct(x), x
 
 
+def test_tokenizer_equals_the_library_on_random_text(direct):
+    r = random.Random(11)
+    ranges = [(0x20, 0x7F), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x530), (0x600, 0x700), (0x2000, 0x2070), (0x3000, 0x3100), (0x4E00, 0x4F00), (0xFB00, 0xFB50), (0x1F600, 0x1F640), (0, 0x20)]
+    texts = ["".join(chr(r.randrange(*r.choice(ranges))) if r.random() < 0.7 else " " for _ in range(r.randrange(1, 60))) for _ in range(1500)]
+    texts.append("zé 中x' " * 200_000)  # a very long text
+    ids, bounds = WordTokenizer(tokenizer_file()).encode(pa.array(texts, pa.string()))
+    for i, x in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == direct(x), x[:100]
+
+
 def ids_of(direct, text):
     return np.array([*direct(text), 2], "<u4")
 
@@ -69,6 +79,15 @@ def test_packing(spark, sf, direct):
     check_packing(many, docs.collect(), direct)
 
 
+def test_packing_keeps_large_ids_beside_a_null(spark, direct):
+    big = 1 << 53
+    docs = spark.createDataFrame([(None, "a b"), (big + 1, "a b"), (big + 3, "c"), (-big - 1, None), *[(None, "x")] * 300], "doc_id long, text string")
+    out = packing.pack(packing.cut(docs, tokenizer_file()), shard_pieces=40)
+    check_packing(out.collect(), docs.collect(), direct)
+    assert {big + 1, big + 3, -big - 1} < {r["doc_id"] for r in out.collect()}
+    assert out.groupBy(F.shiftright("sequence_id", 32).alias("s")).count().agg(F.max("count")).first()[0] < 120  # repeated rows are spread
+
+
 def test_best_fit_against_brute_force():
     r = random.Random(1)
     for window in (7, 64, 4096):
@@ -177,10 +196,13 @@ def test_urls_match_sql(spark, sf):
     compare(QUERIES["op10_url_filter"](spark, sf), ORACLE_SQL["op10_url_filter"], sf)
 
 
-def test_urls_edges(spark):
-    data = ["http://A.Example.COM/en/77?x", "https://example.com/en/8", "http://com/en/", "http://notcom/en/", "x://y.net/de/8", "ftp://example.net/de/81#z", None, "", "no scheme/en/", "http://", "http://x.org/es", "http://x.org/es/?http://b.com/en/", "://a.com/en/", "http://.com/en/", "http://a..com/en/", "http://É.com/en/", "http://com?/en/", "http://example.com/en/77://com/"]
+@pytest.mark.parametrize("broadcast", [0, 1 << 21])
+def test_urls_edges(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(urls, "BROADCAST_BLOCKS", broadcast)
+    long = "http://example.com/en/7" + "x/" * 300_000
+    data = ["http://A.Example.COM/en/77?x", "https://example.com/en/8", "http://com/en/", "http://notcom/en/", "x://y.net/de/8", "ftp://example.net/de/81#z", None, "", "no scheme/en/", "http://", "http://x.org/es", "http://x.org/es/?http://b.com/en/", "://a.com/en/", "http://.com/en/", "http://a..com/en/", "http://É.com/en/", "http://com?/en/", "http://example.com/en/77://com/", "http://all.io", "http://a.all.io?q", "http://ab/", long, "http://" + "a." * 2000 + "com/en/"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(data)] + [(0, data[0]), (None, data[1])], "page_id long, url string")
-    listed = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"), ("x.org", "/es/", "allow"), ("x.org", "/es/", "block"), (None, "/", "block")]
+    listed = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"), ("x.org", "/es/", "allow"), ("x.org", "/es/", "block"), (None, "/", "block"), ("all.io", "", "block"), ("a", "b/", "block"), ("com/en", "/", "block")]
     got = rows(urls.judge(clashing(df), spark.createDataFrame(listed, "host string, path string, verdict string")), "page_id", "host", "path", "rule", "verdict")
     want = []
     for i, u in [(i, u) for i, u in enumerate(data)] + [(0, data[0]), (None, data[1])]:
@@ -195,6 +217,20 @@ def test_urls_edges(spark):
     assert urls.judge(df.limit(0), none).collect() == []
 
 
+def test_urls_long_list(spark):
+    """Thousands of listed URLs, many under one host: each page gets its longest."""
+    r = random.Random(2)
+    listed = [(f"h{r.randrange(400)}.org", "/" + "p" * r.randrange(40) + "/", r.choice(["allow", "block"])) for _ in range(3000)] + [("hot.org", "/" + "q" * k + "/", "block") for k in range(200)]
+    pages = [(i, f"http://{r.choice(['', 'www.', 'a.b.'])}{h}{p}{r.choice(['', 'x', 'pp/'])}") for i, (h, p, _) in enumerate(r.choices(listed, k=400))] + [(1000 + k, f"http://other{k}.net/p/") for k in range(100)]
+    got = rows(urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(listed, "host string, path string, verdict string")), "page_id", "rule", "verdict")
+    want = []
+    for i, u in pages:
+        host, path = re.fullmatch("http://([^/]*)(/.*)", u).groups()
+        best = max(((len(h + p), v, h + p) for h, p, v in listed if (host == h or host.endswith("." + h)) and path.startswith(p)), default=(0, "allow", None))
+        want.append((i, best[2], best[1]))
+    assert got == sorted(want, key=repr)
+
+
 PII = [
     (1, "Mail Bob.12@Mail1.example.com or bob.12@mail1.example.com, call +1 (988) 555-2485 or 988-555-2485."),
     (2, "Card 4539 1488 0343 6467 and 4539148803436467; ip 10.20.30.40. ssn 123-45-6789!! Mrs. Anna Smith met Mr Smith and Frau SMITH."),

@@ -37,6 +37,13 @@ def test_language_edges(spark):
     assert kept.columns == clashing(docs).columns and not {1, 2, 3} & {r["doc_id"] for r in kept.collect()}
 
 
+def test_language_needs_a_letter(spark):
+    odd = ["½²①", "١٢٣", "_ 12 \u0301", "ⅷ", "x½", "中", "ª"]
+    model = language.train(documents(spark, "/root/testdata/sf0.001"))
+    got = [v for v, _, _ in zip(*language.judge([*odd, "½ " * 300_000, "the thing " * 200_000], model), strict=True)]
+    assert [v == "und" for v in got] == [True] * 4 + [False] * 3 + [True, False]
+
+
 def test_language_does_not_see_labels_of_held_out_rows(spark, sf):
     docs = documents(spark, sf)
     spoiled = docs.withColumn("lang", F.when(language.held_out(F.col("doc_id")), "zz").otherwise(F.col("lang")))
@@ -209,6 +216,13 @@ def test_secrets_against_brute_force(spark, sf):
     assert secrets.scan(empty_docs(spark), path="doc_id", content="text").collect() == []
 
 
+def test_secrets_of_a_very_long_text(spark):
+    text = "token=abcdefg é " * 30_000 + "x" * 200_000 + " " + "0123456789abcdef" * 2
+    df = spark.createDataFrame([(1, text), (2, "a" * 1_000_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.scan(df, path="doc_id", content="text")).collect()}
+    assert got[1]["spans"] == ",".join(brute_spans(text)) and got[1]["n_assign"] == 30_000 and got[2]["n_hex"] == 1
+
+
 def test_secrets_match_sql(spark, sf):
     compare(QUERIES["op5_secret_scan"](spark, sf), ORACLE_SQL["op5_secret_scan"], sf)
 
@@ -229,3 +243,14 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert entries().count() == 6 and {tuple(r["seen"]) for r in entries().collect()} == {("assign@1", "access@1"), ("assign@2", "hex@1")}
     secrets.scan(second, newer, ledger)
     assert entries().count() == 6
+
+
+def test_ledger_with_a_blob_that_two_scans_met(spark, tmp_path):
+    """Two scans of one blob at once leave two rows in the ledger; its findings count once."""
+    ledger = secrets.create_ledger(spark, str(tmp_path / "ledger"))
+    df = spark.createDataFrame([("a", "secret=abcdefg"), ("b", None)], "path string, content string")
+    secrets.scan(df, ledger=ledger)
+    rows_ = spark.read.schema(secrets.LEDGER).parquet(ledger).collect()
+    spark.createDataFrame(rows_, secrets.LEDGER).write.mode("append").parquet(ledger)
+    assert rows(secrets.scan(df, ledger=ledger).select("path", F.size("findings").alias("n")), "path", "n") == [("a", 1), ("b", 0)]
+    assert spark.read.parquet(ledger).count() == 4
