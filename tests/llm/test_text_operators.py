@@ -1,6 +1,7 @@
 """Language ID, decontamination, quality rules and secret scans against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -95,7 +96,7 @@ def test_decontamination_edges_and_blocks(spark):
     bench = spark.createDataFrame(items, "item_id string, text string")
     docs = clashing(edge_docs(spark))
     given = [(i, t) for i, t in items if i is not None and t]
-    for block in (1 << 18, 30):
+    for block in (1 << 18, 30, 8):
         hits = decontaminate.find_hits(docs, bench, block_bytes=block)
         got = {(r["doc_id"], r["n_words"]): r for r in decontaminate.digest(hits).collect()}
         for doc, text in edge_docs(spark).select("doc_id", "text").collect():
@@ -126,6 +127,35 @@ def test_decontamination_words_hold_white_space_beyond_ascii(spark):
     assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {2, 3}
 
 
+def test_decontamination_of_a_large_benchmark_in_one_scan(spark, tmp_path):
+    """A benchmark of 20 MB is one automaton: one block, and one stage over the documents."""
+    r = random.Random(4)
+    vocabulary = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzé", k=r.randint(2, 9))) for _ in range(60_000)]
+    items = [" ".join(r.choices(vocabulary, k=r.choice([3, 9, 40, 120]))) for _ in range(72_000)]
+    items[0] = " ".join(r.choices(vocabulary, k=35_000))  # cut into pieces
+    assert sum(map(len, items)) > 20_000_000
+    spark.createDataFrame([(str(k), t) for k, t in enumerate(items)], "item_id string, text string").write.parquet(str(tmp_path / "b"))
+    bench = spark.read.parquet(str(tmp_path / "b"))
+    blocks = decontaminate.blocks_of(bench)
+    assert blocks.n == 1
+    long_item = items[0].split()
+    wanted = [k for k, t in enumerate(items) if len(t.split()) >= 40][:50]
+    texts = [(k, "zz " + " ".join(items[k].split()[5:30]).upper().replace("É", "é") + " zz") for k in wanted]
+    texts += [(100_000 + k, " ".join(long_item[k : k + 10])) for k in range(9_985, 10_010)] + [(200_000 + k, " ".join(r.choices(vocabulary, k=200))) for k in range(300)]
+    texts += [(300_000 + k, " ".join(items[k].split()[:9])) for k in wanted[:20]]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {x["doc_id"]: x for x in decontaminate.find_hits(docs, bench).collect()}
+    short = {tuple(t.split()) for t in items if len(t.split()) < 10}
+    for k, t in texts:
+        w = t.lower().split()
+        if k < 100_000:
+            assert len(got[k]["hit_words"]) == (25 if k else len(w) - 2) and str(k) in got[k]["items"]
+        elif k < 200_000:
+            assert len(got[k]["hit_words"]) == 10 and got[k]["items"] == ["0"]
+        else:
+            assert bool(got[k]["hit_words"]) == any(tuple(w[i : i + n]) in short for n in (3, 9) for i in range(len(w) - n + 1))
+
+
 def brute_quality(text):
     w, places, covered = space_words(text), defaultdict(list), set()
     for i in range(len(w) - 2):
