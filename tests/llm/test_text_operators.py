@@ -178,44 +178,78 @@ def test_quality_counts_against_brute_force(spark, sf):
     assert quality.judge(empty_docs(spark), trusted).collect() == []
 
 
-def test_quality_score_against_brute_force(spark):
-    docs = edge_docs(spark).where("doc_id <> 9 or doc_id is null")
-    trusted = spark.createDataFrame([(6,), (8,)], "doc_id long")
-    ids = {r["w"]: r["b"] for r in docs.select(F.explode(F.split("text", r"\s+")).alias("w")).select("w", quality._bucket(F.col("w")).alias("b")).collect()}
-    pairs = [(a, b) for r in docs.collect() for a, b in zip(space_words(r["text"]), space_words(r["text"])[1:], strict=False)]
-    both = {(r["a"], r["b"]): r["k"] for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", quality._bucket(F.col("a"), F.col("b")).alias("k")).collect()}
+def test_quality_counts_of_texts_with_many_repeats(spark):
+    """Few repeated windows are looked up one by one, many are sorted out."""
+    r = random.Random(3)
+    texts = [" ".join(r.choices([f"w{k}" for k in range(size)], k=n)) for size, n in ((3, 60), (8, 300), (12, 300), (200, 300), (40, 900), (6, 5000), (2000, 60_000))]
+    texts += [" ".join(f"u{k}" for k in range(90)) + " u5 u6 u7 x u5 u6 u7 u8", "a " * 200_000]
+    got = rows(quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([], "doc_id long")), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert got == sorted(((i, *brute_quality(t)) for i, t in enumerate(texts)), key=repr)
+
+
+def brute_scores(spark, docs, trusted):
+    """Scores by doc_id and number of words, with the operator's hash but all else by hand."""
+    texts = [(d["doc_id"], d["text"]) for d in docs.collect()]
+    all_words = sorted({w for _, t in texts for w in space_words(t)})
+    ids = {x["w"]: x["b"] for x in spark.createDataFrame([(w,) for w in all_words], "w string").select("w", quality._bucket(F.col("w")).alias("b")).collect()}
+    pairs = sorted({p for _, t in texts for p in zip(space_words(t), space_words(t)[1:], strict=False)})
+    both = {(x["a"], x["b"]): x["k"] for x in spark.createDataFrame(pairs, "a string, b string").select("a", "b", quality._bucket(F.col("a"), F.col("b")).alias("k")).collect()}
     grams = lambda t: [ids[w] for w in space_words(t)] + [both[p] for p in zip(space_words(t), space_words(t)[1:], strict=False)]
     raw, target = Counter(), Counter()
-    for r in docs.collect():
-        raw.update(grams(r["text"]))
-        if r["doc_id"] in (6, 8):
-            target.update(grams(r["text"]))
-    size, n, m = quality.BUCKETS, sum(raw.values()), sum(target.values())
-    share = lambda b: (raw[b] + 1) / (n + size)
-    ratio = lambda b: np.log((target[b] + size * share(b)) / (m + size) / share(b))
-    for r in quality.judge(docs, trusted).select("doc_id", "score", "kept", "n_words").collect():
-        for d in docs.collect():
-            if d["doc_id"] == r["doc_id"] and len(space_words(d["text"])) == r["n_words"]:
-                g = grams(d["text"])
-                assert abs(r["score"] - (sum(map(ratio, g)) / len(g) if g else 0)) < 1e-4
+    for i, t in texts:
+        raw.update(grams(t))
+        if i in trusted:
+            target.update(grams(t))
+    size, n, m = quality.BUCKETS, sum(raw.values()) + quality.BUCKETS, sum(target.values())
+    ratio = {b: np.log((target[b] + size * (c + 1) / n) / (m + size) / ((c + 1) / n)) for b, c in raw.items()}
+    return {(i, len(space_words(t))): float(np.mean([ratio[b] for b in grams(t)])) if space_words(t) else 0.0 for i, t in texts}
 
 
-def test_quality_keeps_clean_and_drops_junk(spark):
+def test_quality_score_and_verdict_against_brute_force(spark):
+    docs = edge_docs(spark).where("doc_id <> 9 or doc_id is null")
+    want = brute_scores(spark, docs, {6, 8})
+    trusted = spark.createDataFrame([(6,), (8,)], "doc_id long")
+    for threshold in (-0.25, 0.0, 0.0001):
+        for r in quality.judge(docs, trusted, threshold=threshold).collect():
+            score = want[r["doc_id"], r["n_words"]]
+            assert abs(r["score"] - score) < 1e-4 and r["kept"] == (not r["base_failed"] and score >= threshold)
+
+
+def test_quality_kept_against_brute_force(spark):
+    """The fitted threshold, and each verdict of the registered query, by hand."""
     sf = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: (r["quality"], r["toxic"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    aside = lambda i: zlib.crc32(str(i).encode()) % 4 == 1
+    docs = documents(spark, sf).select("doc_id", "text")
+    want = brute_scores(spark, docs, {i for i, v in labels.items() if v == (1, 0) and not aside(i)})
     got = {r["doc_id"]: r for r in QUERIES["op4_quality_rules"](spark, sf).collect()}
-    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    good = [got[i]["kept"] for i, q in labels.items() if q == 1 and not got[i]["base_failed"]]
-    bad = [got[i]["kept"] for i, q in labels.items() if q == 0]
-    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.2 * len(bad)
-    again = {r["doc_id"]: r["score"] for r in QUERIES["op4_quality_rules"](spark, sf).collect()}
-    assert again == {i: r["score"] for i, r in got.items()}
+    assert all(abs(got[i]["score"] - s) < 1e-4 for (i, _), s in want.items())
+    step = lambda i: int(np.floor(got[i]["score"] * quality.STEPS))
+    good = [step(i) for i, v in labels.items() if v == (1, 0) and aside(i) and not got[i]["base_failed"]]
+    bad = [step(i) for i, v in labels.items() if v[0] == 0 and not got[i]["base_failed"]]
+    cells = sorted({*good, *bad})
+    gain = [sum(b < c for b in bad) * len(good) - sum(g < c for g in good) * len(bad) for c in cells]
+    k = gain.index(max(gain))
+    cut = ((cells[k - 1] + 1 if k else cells[k]) + cells[k]) // 2
+    assert {i: r["kept"] for i, r in got.items()} == {i: not r["base_failed"] and r["score"] * quality.STEPS >= cut for i, r in got.items()}
+
+
+def test_quality_threshold_without_labels(spark):
+    docs = edge_docs(spark)
+    trusted = spark.createDataFrame([(6,), (8,)], "doc_id long")
+    for judged in ([], [(6, True)], [(6, False), (None, True), (4, None)]):
+        got = quality.judge(docs, trusted, spark.createDataFrame(judged, "doc_id long, good boolean"))
+        want = quality.judge(docs, trusted if (6, True) not in judged or zlib.crc32(b"6") % 4 != 1 else trusted.where("doc_id = 8"), threshold=quality.THRESHOLD)
+        assert rows(got, *got.columns) == rows(want, *want.columns)
 
 
-def test_quality_drops_junk_that_passes_the_base_rules(spark):
+def test_quality_keeps_clean_and_drops_junk(spark):
+    """Also junk that passes the base rules; and the same run gives the same scores."""
     sf = "/root/testdata/sf0.01"
-    got = QUERIES["op4_quality_rules"](spark, sf).where("not base_failed")
-    n = {r["quality"]: (r["n"], r["kept"]) for r in got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()}
-    assert n[0][0] > 20 and n[0][1] == 0 and n[1][1] >= 0.97 * n[1][0]
+    got = QUERIES["op4_quality_rules"](spark, sf)
+    n = {r["quality"]: (r["n"], r["kept"]) for r in got.where("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert n[0][0] > 20 and n[0][1] == 0 and n[1][1] >= 0.99 * n[1][0]
+    assert rows(got, "doc_id", "score", "kept") == rows(QUERIES["op4_quality_rules"](spark, sf), "doc_id", "score", "kept")
 
 
 def brute_spans(text):

@@ -19,6 +19,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE, -1), lambda w: w != "")
 
 
+def following(items: Column, n: int) -> Column:
+    """The items from number n on."""
+    return F.slice(items, F.lit(n + 1), F.greatest(F.size(items) - n, F.lit(0)))
+
+
 def numbers(first: int, last: Column) -> Column:
     """first..last as an array; empty if last is less."""
     return F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array().cast("array<int>"))

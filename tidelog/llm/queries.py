@@ -40,9 +40,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted: labelled as of quality and not toxic. The threshold is fitted on these and the texts labelled as without quality."""
     from .quality import judge
 
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0"))
+    labels = table(spark, sf_dir, "labels")
+    judged = labels.where("quality = 0 or toxic = 0").selectExpr("doc_id", "quality = 1 as good")
+    return judge(table(spark, sf_dir, "documents"), labels.where("quality = 1 and toxic = 0"), judged)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
