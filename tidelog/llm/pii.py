@@ -2,22 +2,27 @@
 
 A surrogate is drawn from SHA-256 over key, kind, entity and attempt, so an entity gets the same one wherever it
 stands, in any of its spellings. All distinct entities of the input are drawn once and checked: where two draw
-the same surrogate, or one draws itself, all but the first draw again, until all are distinct. Entities that
-needed more than one attempt are few; they go to the texts as a constant while they are at most INLINE, else by a
-join on the entities of each text.
-
-Kinds: email, card, ssn, phone, ip, and given and family names after a title (their gender is the title's, or
-their ending's). Digits stay digits and separators stay; a card keeps its first digit and its Luhn validity, a
-phone number its country code; names keep script (Latin, Cyrillic), gender and capitals; an email keeps the
-presence of digits and moves to a reserved domain.
-
-A card is any run of 13 to 19 digits with single spaces or hyphens between them, whether or not its check digit
-holds, so lists of short numbers can be taken for one. A phone number starts with a plus, or is of the separated
-3-3-4 shape. Not detected: phone numbers with 00 or in national shapes other than 3-3-4, cards with other
-separators, names without a title, postal addresses, bank accounts, identity numbers other than the ssn, IPv6.
-
-Rules for odd input: null text stays null; an empty text stays empty; repeated rows each give a row with the
-same surrogates; an empty table gives no rows; columns other than the text pass through unchanged.
+the same surrogate, all but the first draw again, and so does each that draws what is an entity of the input itself,
+until all are distinct and none is real. Entities that needed more than one attempt are few; they go to the texts as a
+constant while they are at most INLINE, else by a join on the entities of each text.
+
+Kinds: email, card, ssn, phone, ip, and given and family names (their gender is that of the title, of a listed given
+name, or of their ending). Digits stay digits and separators stay; a card keeps its first digit and its Luhn
+validity, a phone number its country code or leading zero; names keep script (Latin, Cyrillic), gender and capitals;
+an email keeps the presence of digits and moves to a reserved domain.
+
+A name is one or two capitalised words after a title, or one after a listed given name. A card is any run of 13 to 19
+digits with single spaces or hyphens between them, whether or not its check digit holds, so lists of short numbers
+can be taken for one. A phone number starts with a plus or 00, or is of the separated 3-3-4 shape, or has a leading
+zero and two or more groups. Numbers with different country codes are different entities; one with a leading zero is not
+linked to its form with a country code, as the country is unknown. Not detected: phone numbers in other national
+shapes, cards with other separators, names without a title or listed given name, postal addresses, bank accounts,
+identity numbers other than the ssn, IPv6.
+
+Rules for odd input: null text stays null; an empty text stays empty; a very long text is searched whole, in one task's
+memory, in time in proportion to its length; where two kinds fit one place, the first in the order email, ip, ssn, phone,
+card, name wins; repeated rows each give a row with the same surrogates; an empty table gives no rows; columns other
+than the text pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,16 +30,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_columns, materialize
+from .common import input_columns, materialize, scratch, unused
 from .expressions import at, let, matches, numbers
 
 #: Entities with a second attempt that travel as a constant; and the most attempts.
-INLINE = 5000
+INLINE = 256
 ATTEMPTS = 30
 
 #: Titles and the gender that they tell.
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "г-жа", "госпожа")
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "господин")
+#: Given names that need no title before them, by gender; none that is also a common word.
+GIVEN_FEMALE = (
+    "Alice", "Amélie", "Ana", "Andrea", "Anna", "Barbara", "Beatriz", "Camille", "Carmen", "Caroline", "Catherine", "Charlotte", "Chloé", "Claudia", "Elena", "Elizabeth", "Emily", "Emma",
+    "Fatima", "Franziska", "Hannah", "Heike", "Ingrid", "Isabel", "Jennifer", "Jessica", "Julia", "Karen", "Katharina", "Laura", "Linda", "Lucía", "Margaret", "Maria", "María", "Marie",
+    "Mary", "Nathalie", "Olga", "Olivia", "Patricia", "Petra", "Sabine", "Sarah", "Sofia", "Sophie", "Susan", "Ursula", "Анна", "Елена", "Мария", "Наталья", "Ольга", "Татьяна",
+)
+GIVEN_MALE = (
+    "Alejandro", "Alexander", "Andreas", "Antoine", "Antonio", "Carlos", "Charles", "Daniel", "David", "Diego", "Edward", "Etienne", "Felipe", "Fernando", "François", "George", "Guillaume",
+    "Hans", "Heinrich", "James", "Javier", "Jean", "John", "Joseph", "José", "Juan", "Jürgen", "Karl", "Klaus", "Laurent", "Luis", "Manuel", "Matthew", "Michael", "Miguel", "Mohammed", "Nicolas",
+    "Pablo", "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Richard", "Robert", "Stefan", "Steven", "Thomas", "William", "Wolfgang", "Александр", "Дмитрий", "Иван", "Михаил", "Сергей",
+)
 
 # A run of letters is tried once, at its start, and never again from inside: time stays linear in long texts without spaces.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}"
@@ -45,18 +61,24 @@ USUAL = r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{3}|[0-9]{4}(?:[ -
 GROUPED = r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 CARD = rf"(?<![0-9])(?:(?<![0-9][ -]){GROUPED}(?![ -][0-9])|{USUAL}|(?!(?:[0-9]{{1,18}}[ -]){{1,18}}{USUAL}){GROUPED})"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-# After a plus: ten digits after +1, else 8 to 15 digits with the country code; without one only 3-3-4.
+# After a plus or 00: ten digits after 1, else 8 to 15 digits with the country code; without one 3-3-4, or groups after a zero.
 DIGIT = r"[ ./\u00a0\u202f-]?\(?[0-9]\)?"
 LOCAL = r"(?:\+[0-9]{1,3}[ .-]?)?(?<![0-9])(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-PHONE = rf"(?<![0-9])\+(?:1(?:{DIGIT}){{10}}|[2-9](?:{DIGIT}){{7,14}})(?![0-9])|{LOCAL}"
-#: Country codes and a trunk zero, which stay.
-COUNTRY = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})0?"
-NAME = rf"(?<![\p{{L}}])(?:{'|'.join(FEMALE + MALE)})\.? [\p{{Lu}}][\p{{L}}'-]+(?: [\p{{Lu}}][\p{{L}}'-]+)?"
+TRUNK = r"(?<![0-9][ ./-])(?:0[1-9](?:[ .-][0-9]{2}){4}|0[1-9][0-9]{1,3}[ /-][0-9]{3,4}[ -][0-9]{3,4}|0[1-9][0-9]{1,3}[ /][0-9]{6,8})(?![ ./-]?[0-9])"
+PHONE = rf"(?<![0-9])(?:\+|00)(?:1(?:{DIGIT}){{10}}|[2-9](?:{DIGIT}){{7,14}})(?![0-9])|{LOCAL}|(?<![0-9]){TRUNK}"
+#: Country codes; a trunk zero after them stays too.
+CODE = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+CODED = "^[0-9]+-"
+TITLE = rf"(?:{'|'.join(FEMALE + MALE)})\.? "
+GIVEN = rf"(?:{'|'.join(GIVEN_FEMALE + GIVEN_MALE)})"
+WORD = r"[\p{Lu}][\p{L}'-]+"
+NAME = rf"(?<![\p{{L}}])(?:{TITLE}{WORD}(?: {WORD})?|{GIVEN} {WORD})"
+_HEADS = "".join(sorted({t[0] for t in FEMALE + MALE + GIVEN_FEMALE + GIVEN_MALE}))
 KINDS = {"email": EMAIL, "ip": IP, "ssn": SSN, "phone": PHONE, "card": CARD, "name": NAME}
-#: All kinds; what a number or a title can begin with is looked at first, so that other places cost one step.
-ANY = rf"{EMAIL}|(?=[0-9+(])(?:{'|'.join(KINDS[k] for k in ('ip', 'ssn', 'phone', 'card'))})|(?=[{''.join(sorted({t[0] for t in FEMALE + MALE}))}]){NAME}"
+#: All kinds; what a number or a name can begin with is looked at first, so that other places cost one step.
+ANY = rf"{EMAIL}|(?=[0-9+(])(?:{'|'.join(KINDS[k] for k in ('ip', 'ssn', 'phone', 'card'))})|(?=[{_HEADS}]){NAME}"
 #: A text without these has no match, and skips the full pattern.
-HINT = rf"[@0-9]|(?=[{''.join(sorted({t[0] for t in FEMALE + MALE}))}])(?:{'|'.join(FEMALE + MALE)})\.? "
+HINT = rf"[@0-9]|(?=[{_HEADS}])(?:{TITLE}|{GIVEN} )"
 
 CYRILLIC = "бцдфгхйклмнпрствзаеиоу"
 LATIN = "bcdfghjklmnprstvzaeiou"
@@ -74,11 +96,13 @@ def _digits(text: Column) -> Column:
 
 
 def _name_words(match: Column) -> Column:
-    return F.split(F.regexp_replace(match, r"^\S+ ", ""), " ", -1)
+    return F.split(F.regexp_replace(match, f"^{TITLE}", ""), " ", -1)
 
 
 def _gender(match: Column) -> Column:
-    return F.when(match.rlike(rf"^(?:{'|'.join(FEMALE)})\b"), "f").otherwise("m")
+    """That of the title, else of the listed name."""
+    listed = match.rlike(rf"^(?:{'|'.join(GIVEN_FEMALE)}) ") & ~match.rlike(f"^{TITLE}")
+    return F.when(match.rlike(rf"^(?:{'|'.join(FEMALE)})\b") | listed, "f").otherwise("m")
 
 
 def _script(word: Column) -> Column:
@@ -90,9 +114,12 @@ def entities(match: Column) -> Column:
 
     def of(kind: Column) -> Column:
         digits = _digits(match)
-        canonical = (
-            F.when(kind == "email", F.lower(match)).when(kind == "phone", F.when(match.startswith("+") & ~match.rlike(f"^{LOCAL}$"), F.regexp_replace(digits, COUNTRY, "")).otherwise(F.substring(digits, -10, 10))).when(kind == "ip", match).otherwise(digits)
-        )
+        abroad = F.regexp_replace(digits, "^00", "")
+        code = F.regexp_extract(abroad, CODE, 0)
+        # Country code (or zero), hyphen, number; without the code where it is that of the 3-3-4 shape.
+        phone = F.when(match.startswith("+") | match.startswith("00"), F.when(abroad.rlike("^1[0-9]{10}$"), F.substring(abroad, 2, 10)).otherwise(F.concat(code, F.lit("-"), F.regexp_replace(abroad, CODE + "0?", ""))))
+        phone = phone.when(match.rlike(f"^{TRUNK}$"), F.concat(F.lit("0-"), F.substring(digits, F.lit(2), F.length(digits)))).otherwise(F.substring(digits, -10, 10))
+        canonical = F.when(kind == "email", F.lower(match)).when(kind == "phone", phone).when(kind == "ip", match).otherwise(digits)
         one = F.array(F.struct(kind.alias("kind"), canonical.alias("id")))
         named = let(_name_words(match), lambda w: F.transform(w, lambda x, i: F.struct(
             F.when(i < F.size(w) - 1, F.concat(F.lit("given_"), _gender(match), F.lit("_"), _script(x))).otherwise(
@@ -129,7 +156,7 @@ def surrogate(key: str, entity: Column, attempt: Column) -> Column:
         card = F.concat(F.substring(own, 1, 1), F.substring(d, F.lit(1), F.length(own) - 2))
         card = let(card, lambda c: F.concat(c, F.when(_luhn(own) == 0, ((10 - _luhn(F.concat(c, F.lit("0"))) % 10) % 10).cast("string")).otherwise(F.substring(d, 40, 1))))
         ssn = F.concat(F.lit("9"), F.substring(d, 1, 8))
-        phone = F.concat(F.translate(F.substring(d, 1, 1), "01", "23"), F.substring(d, F.lit(2), F.length(own) - 1))
+        phone = F.concat(F.regexp_extract(own, CODED, 0), F.translate(F.substring(d, 1, 1), "01", "23"), F.substring(d, F.lit(2), F.length(F.regexp_replace(own, CODED, "")) - 1))
         latin = F.when(kind.startswith("given_f"), F.concat(_syllables(h, 1, 4), F.lit("na"))).when(kind.startswith("given_m"), F.concat(_syllables(h, 1, 4), F.lit("n"))).otherwise(F.concat(_syllables(h, 1, 5), F.when(kind.endswith("_f"), "va").otherwise("r")))
         name = F.when(kind.rlike("_c(?:_f)?$"), F.translate(latin, LATIN, CYRILLIC)).otherwise(latin)
         return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "phone", phone).otherwise(name)
@@ -163,8 +190,8 @@ def _recase(model: Column, word: Column) -> Column:
 def render(match: Column, found: Column, drawn: Column) -> Column:
     """A match rewritten with its entities' canonical surrogates."""
     kind = at(found, 0)["kind"]
-    named = F.concat(F.regexp_extract(match, r"^\S+ ", 0), F.array_join(F.zip_with(_name_words(match), drawn, _recase), " "))
-    return F.when(kind.isin("email", "ip"), at(drawn, 0)).when(kind.isin("card", "ssn", "phone"), _refill(match, at(drawn, 0))).otherwise(named)
+    named = F.concat(F.regexp_extract(match, f"^{TITLE}", 0), F.array_join(F.zip_with(_name_words(match), drawn, _recase), " "))
+    return F.when(kind.isin("email", "ip"), at(drawn, 0)).when(kind.isin("card", "ssn", "phone"), _refill(match, F.regexp_replace(at(drawn, 0), CODED, ""))).otherwise(named)
 
 
 def _found(text: Column) -> Column:
@@ -177,17 +204,18 @@ def collisions(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """kind, id, attempt of the entities whose first draw was taken. Every distinct entity of the texts is checked."""
     found = input_columns(docs, text=text).where(F.col("text").rlike(HINT)).select(F.explode(matches(F.col("text"), ANY)).alias("m")).distinct().select(F.explode(entities(F.col("m"))).alias("e")).select("e.*").distinct()
     entity = F.struct("kind", "id")
-    drawn = materialize(found.select("kind", "id", F.lit(0).alias("attempt"), surrogate(key, entity, F.lit(0)).alias("s")), "entities")
-    again = None
-    for attempt in range(1, ATTEMPTS + 1):
-        first = drawn.groupBy("kind", "s").agg(F.count("*").alias("n"), F.min(F.struct((F.col("id") == F.col("s")).alias("own"), "attempt", "id")).alias("keeps"))
-        taken = first.where((F.col("n") > 1) | F.col("keeps.own")).select("kind", "s", "keeps")
-        losers = drawn.join(taken, ["kind", "s"]).where((F.col("id") != F.col("keeps.id")) | F.col("keeps.own")).select("kind", "id", F.lit(attempt).alias("attempt"), surrogate(key, entity, F.lit(attempt)).alias("s"))
-        losers = materialize(losers, "entities-again")
-        if not losers.take(1):
-            return again if again is not None else drawn.where("attempt > 0").select("kind", "id", "attempt")
-        drawn = materialize(drawn.join(losers.select("kind", "id"), ["kind", "id"], "left_anti").unionByName(losers), "entities")
-        again = drawn.where("attempt > 0").select("kind", "id", "attempt")
+    with scratch(docs.sparkSession):
+        drawn = materialize(found.select("kind", "id", F.lit(0).alias("attempt"), surrogate(key, entity, F.lit(0)).alias("s")), "entities")
+        real = drawn.select("kind", F.col("id").alias("s"), F.lit(None).cast("struct<attempt:int,id:string>").alias("who"), F.lit(True).alias("real"))
+        for attempt in range(1, ATTEMPTS + 1):
+            every = drawn.select("kind", "s", F.struct("attempt", "id").alias("who"), F.lit(False).alias("real")).unionByName(real)
+            held = every.groupBy("kind", "s").agg(F.count("who").alias("n"), F.min("who").alias("keeps"), F.bool_or("real").alias("real"))
+            taken = held.where("n > 1 or real and n > 0").select("kind", "s", "keeps", "real")
+            losers = drawn.join(taken, ["kind", "s"]).where((F.col("id") != F.col("keeps.id")) | F.col("real")).select("kind", "id", F.lit(attempt).alias("attempt"), surrogate(key, entity, F.lit(attempt)).alias("s"))
+            losers = materialize(losers, "entities-again")
+            if not losers.take(1):
+                return materialize(drawn.where("attempt > 0").select("kind", "id", "attempt"), "entities-kept", keep=True)
+            drawn = materialize(drawn.join(losers.select("kind", "id"), ["kind", "id"], "left_anti").unionByName(losers), "entities")
     raise ValueError(f"surrogates still collide after {ATTEMPTS} attempts")
 
 
@@ -211,7 +239,7 @@ def replace(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
             attempt = lambda e: F.lit(0)
         new = let(found, lambda f: F.when(f.isNotNull(), rebuilt(f, lambda e: surrogate(key, e, attempt(e)))))
         return docs.withColumn(text, F.coalesce(new, own))
-    row, held = "__pii_row", "__pii_map"
+    row, held = unused(docs, "pii_row"), unused(docs, "pii_map")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "pii-docs")
     each = numbered.select(row, F.explode(found["whole"]).alias("m")).select(row, F.explode(entities(F.col("m"))).alias("e")).select(row, "e.kind", "e.id").distinct()
     maps = each.join(again, ["kind", "id"]).groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "id").alias("k"), "attempt"))).alias(held))
