@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate, language, ngram_join, packing, pii
-from tidelog.llm.common import materialize, table
+from tidelog.llm.common import fresh_path, remove, scratch, table
 from tidelog.llm.queries import PII_KEY, tokenizer_file
 
 
@@ -55,7 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other. A stage's tables on the way, and its predecessor's result, are removed when it is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = fresh_path(spark, f"stage-{name}")
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.option("compression", "zstd").parquet(path)
+        remove(spark, before)
+        docs, before = spark.read.schema(made.schema).parquet(path), [path]
     return docs
