@@ -1,8 +1,14 @@
+import json
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
+from tidelog.operators import writes
 from tidelog.operators.writes import Batch
+from tidelog.options import Options
 from tidelog.plans.protocol import Session, tokenize
-from tidelog.sources.store import VersionStore
+from tidelog.sources.store import Conflict, Files, VersionStore
 from tidelog.streaming.ingest import ingest
 
 OPS = "ord long, vtype tinyint, key string, value binary, expire_at_ms long"
@@ -80,10 +86,111 @@ def test_commands(store):
     assert run("HSET h name ming city x") == ["2"] and run("HSET h name li age 3") == ["1"] and run("HGETALL h") == ["name", "li", "city", "x", "age", "3"]
     assert run("HGET h none") == ["(nil)"] and run("HDEL h name none") == ["1"] and run("HLEN h") == ["2"] and run("HEXISTS h city") == ["1"]
     assert "user:1" in run("KEYS *") and run("KEYS user*") == ["user:1"] and run("KEYS nope") == []
-    assert len(run("COMMAND")) == 32 and run("INFO")[0].startswith("protocol:") and s.run("LRANGE l a b").code == 2 and s.run("nonsense").code == 2
+    assert len(run("COMMAND")) == 32 and run("INFO")[:2] == ["server:tidelog", "protocol:SKSP/1.0"] and s.run("LRANGE l a b").code == 2 and s.run("nonsense").code == 2
     assert s.run("PING").frame() == "SKSP/1.0 OK 0\r\n1\r\nPONG\r\n"
 
 
+def test_commands_with_any_key_and_those_of_the_shell(store):
+    s = Session(store)
+    run = lambda line: s.run(line).lines
+    for key in ("self", "pairs", "args", "name"):
+        assert run(f"SET {key} x") == ["OK"] and run(f"GET {key}") == ["x"] and run(f"LPUSH l{key} a") == ["1"]
+    assert run("SET n 1") == ["OK"] and run("INCR n") == ["2"] and run("HSET self2 a b") == ["1"]
+    assert s.run("put k v").ok and run("get k") == ["v"] and run("scan k k") == ['[{"key": "k", "value": "v"}]'] and run("prefix zz") == ["[]"]
+    assert s.run("repl").code == 2 and s.run("scan k").code == 2 and s.run("nonsense").lines == ["unknown command: nonsense"]
+    assert any(line.startswith("writes=") for line in json.loads(run("stats")[0])["summary"].splitlines())
+
+
+def test_large_batches_lose_and_repeat_nothing(spark, tmp_path, monkeypatch):
+    """60,000 operations of 500 bytes, with adaptive execution on and off, in one range and in many."""
+    n = 60_000
+    ops = spark.range(n).select((F.lit(n) - F.col("id")).alias("ord"), F.lit(1).cast("tinyint").alias("vtype"), F.concat(F.lit("k"), F.pmod(F.hash("id"), F.lit(9000)).cast("string")).alias("key"), F.rpad(F.col("id").cast("string"), 500, "x").cast("binary").alias("value"), F.lit(-1).cast("long").alias("expire_at_ms"))
+    for adaptive in ("true", "false"):
+        for rows in (250_000, 7_000):
+            monkeypatch.setattr(writes, "RANGE_ROWS", rows)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            try:
+                store = VersionStore(spark, str(tmp_path / f"{adaptive}{rows}"), options=Options(flush_rows=10**9))
+                assert store.put("first", b"1") == 1 and store.write(ops) == n + 1
+                got = store.log().where("seq > 1").select("seq", F.trim(F.col("value").cast("string"), F.lit("x")).cast("long").alias("id"))
+                assert got.agg(F.count("*"), F.count_distinct("seq"), F.min("seq"), F.max("seq"), F.count(F.when(F.col("seq") != n + 1 - F.col("id"), 1))).first() == (n, n, 2, n + 1, 0)
+            finally:
+                spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_batch_that_reads_differently_each_time(spark, store):
+    """The batch is written once before it is numbered, so a source that is not stable does no harm."""
+    ops = spark.range(2000).select((F.rand() * 1e9).cast("long").alias("ord"), F.lit(1).cast("tinyint").alias("vtype"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.lit(b"v").alias("value"), F.lit(-1).cast("long").alias("expire_at_ms")).where("rand() < 0.5")
+    last = store.write(ops)
+    assert store.log().agg(F.count("*"), F.count_distinct("seq"), F.max("seq")).first() == (last, last, last) and 0 < last < 2000
+    assert "staging" not in [n for n in store.files.names() if Files(store.spark, f"{store.files.root}/{n}").names()]
+
+
+def test_a_writer_that_is_behind_is_refused_and_deletes_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidelog.sources.store.KEPT", 1)
+    path = str(tmp_path / "s")
+    one = VersionStore(spark, path)
+    one.put("a", b"0")
+    one.flush()
+    late = VersionStore(spark, path)
+    for k in range(3):
+        one.put("a", str(k).encode())
+    one.flush()
+    for attempt in (lambda: late.put("b", b"lost"), late.compact, late.flush, lambda: late.write(Batch().delete("a").frame(spark))):
+        if attempt != late.flush:
+            with pytest.raises(Conflict, match="exist"):
+                attempt()
+        else:
+            attempt()  # nothing to flush
+    now = VersionStore(spark, path)
+    assert now.get("a") == b"2" and now.log().count() == 4 and now.get("b") is None
+    assert not Files(spark, f"{path}/wal").names() and not Files(spark, f"{path}/staging").names()  # what was refused is gone
+    late.refresh()
+    late.put("b", b"kept")
+    assert VersionStore(spark, path).get("b") == b"kept"
+
+
+def test_a_writer_whose_number_is_free_again_is_refused(spark, store, monkeypatch):
+    """The check before the create passes, the create too, but others have committed since."""
+    store.put("a", b"1")
+    seen = iter([store.number, store.number + 7])
+    monkeypatch.setattr(store, "_newest", lambda: next(seen))
+    with pytest.raises(Conflict):
+        store.put("b", b"2")
+    assert store.files.names().count("manifest-1.json") == 0 and store.manifest["lastSequence"] == 1
+
+
+def test_cache_cleanup_backpressure_and_slow_reads(spark, tmp_path):
+    now = [1000]
+    store = VersionStore(spark, str(tmp_path / "s"), clock=lambda: now[0], options=Options(cache_entries=2, cleanup_ms=50, slow_ms=1, l0_trigger=9, l0_stop=9))
+    store.ttl_put("t", b"1", 2000)
+    store.put("a", b"1")
+    assert [store.get(k) for k in ("t", "t", "a", "none", "none", "t")] == [b"1", b"1", b"1", None, None, b"1"]
+    assert (store.cache.hits, store.cache.misses) == (2, 4) and store.stats()["cacheHitRate"] == 2 / 6 and store.counters["slow_reads"] >= 4
+    now[0] = 2000
+    assert store.get("t") is None and store.cache.hits == 3  # expiry is judged at the read
+    store.put("a", b"2")
+    assert store.get("a") == b"2" and store.fetch(store.scan("a", "b", 5)) == [("a", b"2")] and store.counters["slow_scans"] == 1
+    store.flush()
+    store.start_cleanup()
+    for _ in range(200):
+        if store.counters["compactions"]:
+            break
+        time.sleep(0.1)
+    assert store.counters["compactions"] == 1 and store.clean_up() is False
+    store.close()
+    assert store.cleanup is None
+    for use in (store.snapshot, store.log, store.stats, store.wal_tail, lambda: store.get("a")):
+        with pytest.raises(RuntimeError):
+            use()
+    stuck = VersionStore(spark, str(tmp_path / "t"), options=Options(l0_trigger=2, l0_stop=2, stall_ms=1, stall_retries=2))
+    stuck.manifest["files"] = [{"level": 0, "path": f"level=0/{k}", "entries": 1} for k in range(2)]
+    stuck.compact = lambda: None
+    with pytest.raises(OSError, match="stalls"):
+        stuck.put("a", b"1")
+    assert stuck.counters["backpressure"] == 2
+
+
 def test_tokenize():
     assert tokenize("put \"hello world\" 'more text' escaped\\ space") == ["put", "hello world", "more text", "escaped space"]
     assert tokenize("a '' b\\") == ["a", "b\\"]
@@ -97,3 +204,23 @@ def test_stream(spark, store, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         ingest(spark.readStream.schema(OPS).parquet(str(tmp_path / "in")), store, str(tmp_path / "point")).start().awaitTermination()
     assert store.get("a") is None and store.get("b") == b"2" and store.snapshot() == 3
+
+
+def test_a_stream_batch_whose_write_fails_is_written_when_replayed(spark, store, tmp_path, monkeypatch):
+    rows = [(1, 1, "a", bytearray(b"1"), -1), (2, 1, "b", bytearray(b"2"), -1)]
+    spark.createDataFrame(rows, OPS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    start = lambda: ingest(spark.readStream.schema(OPS).parquet(str(tmp_path / "in")), store, str(tmp_path / "point")).start().awaitTermination()
+    plain = store._frame
+
+    def fail(ops, path):
+        monkeypatch.setattr(store, "_frame", plain)
+        raise OSError("disk")
+
+    monkeypatch.setattr(store, "_frame", fail)
+    with pytest.raises(Exception, match="disk"):
+        start()
+    assert store.snapshot() == 0 and "streams" not in store.manifest
+    start()
+    assert store.snapshot() == 2 and store.get("b") == b"2"
+    start()
+    assert store.snapshot() == 2

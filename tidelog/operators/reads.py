@@ -60,15 +60,19 @@ def get_as_of(log: DataFrame, requests: DataFrame, now_ms: int) -> DataFrame:
     return seen.select("key", F.col("seq").alias("snapshot"), F.when(ok, F.col("v.seq")).alias("seq"), F.when(ok, F.col("v.value")).alias("value"))
 
 
-def scan(log: DataFrame, start: str, end: str, limit: int, now_ms: int, snapshot: int | None = None) -> DataFrame:
-    """Visible versions of keys in [start, end], in key order, at most limit (a top-k)."""
-    found = latest_visible(log.where(between(F.col("key"), start, end)), now_ms, snapshot)
-    return found.orderBy(sort_key(F.col("key"))).limit(max(0, limit))
+def _in_order(found: DataFrame, limit: int | None) -> DataFrame:
+    """By key: a top-k with a limit, ranges sorted in parallel without one."""
+    ordered = found.orderBy(sort_key(F.col("key")))
+    return ordered if limit is None else ordered.limit(max(0, limit))
 
 
-def prefix_scan(log: DataFrame, prefix: str | None, limit: int, now_ms: int, snapshot: int | None = None) -> DataFrame:
-    found = latest_visible(log.where(with_prefix(F.col("key"), prefix)), now_ms, snapshot)
-    return found.orderBy(sort_key(F.col("key"))).limit(max(0, limit))
+def scan(log: DataFrame, start: str, end: str, limit: int | None, now_ms: int, snapshot: int | None = None) -> DataFrame:
+    """Visible versions of keys in [start, end], in key order, at most limit."""
+    return _in_order(latest_visible(log.where(between(F.col("key"), start, end)), now_ms, snapshot), limit)
+
+
+def prefix_scan(log: DataFrame, prefix: str | None, limit: int | None, now_ms: int, snapshot: int | None = None) -> DataFrame:
+    return _in_order(latest_visible(log.where(with_prefix(F.col("key"), prefix)), now_ms, snapshot), limit)
 
 
 def keys(log: DataFrame, pattern: str, now_ms: int, limit: int = KEYS_LIMIT) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import DELETE, NEVER, PUT
 
+#: Rows of one range when a batch is numbered, and the most ranges.
+RANGE_ROWS = 250_000
+MOST_RANGES = 20_000
+
 BATCH = "ord long, vtype tinyint, key string, value binary, expire_at_ms long"
 
 
@@ -53,19 +58,35 @@ def validate(ops: DataFrame) -> DataFrame:
     return ops
 
 
+def numbered(batch: Batch, base: int) -> list[tuple]:
+    """The log rows of a sound batch that is on the driver, with seq base + 1, ...; else ValueError."""
+    for ord_, vtype, key, value, _ in batch.rows:
+        why = "key must not be empty" if not key else "value must not be null" if vtype == PUT and value is None else None
+        if why:
+            raise ValueError(f"operation {ord_}: {why}")
+    return [(key, base + 1 + k, vtype, value if vtype == PUT else None, at) for k, (_, vtype, key, value, at) in enumerate(batch.rows)]
+
+
 def sequenced(ops: DataFrame, base: int) -> DataFrame:
-    """The operations as log rows with seq base + 1, base + 2, ... in order of ord.
+    """The operations as log rows with seq base + 1, base + 2, ... in order of ord; equal ords go by the other columns.
 
-    Ranges of ord go to tasks, which number their rows; only the ranges' sizes are gathered, so a batch may be
-    of any size. The input must give the same rows when read twice.
+    A row's range of ord follows from its value alone, and its number from its place in the range, so the numbers
+    do not depend on how a plan is cut into tasks. Only the ranges' sizes are gathered, so a batch may be of any
+    size. The input must hold the same rows each time it is read.
     """
-    low = (1 << 33) - 1
-    placed = ops.repartitionByRange("ord").sortWithinPartitions("ord").withColumn("_id", F.monotonically_increasing_id())
-    placed = placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(low))
-    starts, n = [], base
-    for row in placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row a task
-        starts.append((row["_part"], n))
-        n += row["n"]
-    offsets = ops.sparkSession.createDataFrame(starts, "_part long, _base long")
-    out = placed.join(F.broadcast(offsets), "_part")
-    return out.select("key", (F.col("_base") + F.col("_at") + 1).alias("seq"), F.col("vtype").cast("tinyint").alias("vtype"), F.when(F.col("vtype") == PUT, F.col("value")).alias("value"), F.col("expire_at_ms"))
+    n = ops.count()
+    placed = ops.withColumn("_part", F.lit(0.0))
+    if n > RANGE_ROWS:
+        place = F.coalesce(F.col("ord").cast("double"), F.lit(float("-inf")))
+        parts = min(MOST_RANGES, -(-n // RANGE_ROWS))
+        marks = ops.agg(F.percentile_approx(place, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10 * parts)).first()[0]
+        splits = [float("-inf"), *sorted({m for m in marks if m > float("-inf")}), float("inf")]
+        placed = Bucketizer(splits=splits, inputCol="_place", outputCol="_part").transform(ops.withColumn("_place", place)).drop("_place")
+    starts, at = [], base
+    for row in placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row a range
+        starts.append((row["_part"], at))
+        at += row["n"]
+    offsets = ops.sparkSession.createDataFrame(starts, "_part double, _base long")
+    order = Window.partitionBy("_part").orderBy("ord", "key", "vtype", "value", "expire_at_ms")
+    out = placed.withColumn("_at", F.row_number().over(order)).join(F.broadcast(offsets), "_part")
+    return out.select("key", (F.col("_base") + F.col("_at")).alias("seq"), F.col("vtype").cast("tinyint").alias("vtype"), F.when(F.col("vtype") == PUT, F.col("value")).alias("value"), F.col("expire_at_ms"))

@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import functions as F
-
 from ..functions.codec import TAGS
-from ..functions.codec import text as as_text
 from ..operators import reads
 from ..sources.store import VersionStore
 from .protocol import NIL, Session, Usage, _whole, tokenize
@@ -24,8 +21,8 @@ def help_text(topic: str | None = None) -> str:
 
 
 class Shell:
-    def __init__(self, store: VersionStore):
-        self.store, self.session = store, Session(store)
+    def __init__(self, store: VersionStore, session: Session | None = None):
+        self.store, self.session = store, session or Session(store)
 
     def run(self, *args: str) -> tuple[int, str]:
         """Exit code and output."""
@@ -44,7 +41,9 @@ class Shell:
 
     def line(self, line: str) -> tuple[int, list[str]]:
         """A line of the protocol that is not a protocol command."""
-        words = tokenize(line)
+        return self.words(tokenize(line))
+
+    def words(self, words: list[str]) -> tuple[int, list[str]]:
         if words and words[0].lower() in INTERACTIVE:
             return 2, [f"{words[0].lower()} is interactive"]
         code, out = self.run(*words)
@@ -66,8 +65,8 @@ class Shell:
         found = getattr(self.session, "do_" + name)(*args[: {"lpop": 1, "rpop": 1, "llen": 1, "lrange": 3, "smembers": 1, "sismember": 2, "scard": 1, "hget": 2, "hexists": 2, "hlen": 1}.get(name, len(args))])
         return None if found == NIL else found
 
-    def _pairs(self, df):
-        return [{"key": r["key"], "value": r["t"]} for r in df.select("key", as_text(F.col("value")).alias("t")).collect()]  # at most the limit
+    def _pairs(self, found):
+        return [{"key": k, "value": v.decode("utf-8", "replace")} for k, v in self.store.fetch(found)]  # at most the limit
 
     def do_put(self, key, value, *_):
         self.store.put(key, value.encode())

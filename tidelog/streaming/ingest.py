@@ -11,13 +11,12 @@ from ..sources.store import VersionStore
 def ingest(ops: DataFrame, store: VersionStore, checkpoint: str, **trigger) -> DataStreamWriter:
     """Write a stream (ord, vtype, key, value, expire_at_ms) to the store. ord orders operations within a micro-batch.
 
-    The manifest keeps the last batch of each stream, so a batch that is replayed after a failure is written once.
+    A batch's number is committed in one manifest with its rows, so a batch that failed is written when it is replayed, and
+    one that was written is not written again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        if store.manifest.get("streams", {}).get(checkpoint, -1) >= number:
-            return
-        store.manifest = store.manifest | {"streams": store.manifest.get("streams", {}) | {checkpoint: number}}
-        store.write(batch)
+        if store.manifest.get("streams", {}).get(checkpoint, -1) < number:
+            store.write(batch, (checkpoint, number))
 
     return ops.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
