@@ -92,7 +92,7 @@ def get_many_snapshots(spark, d):
 
 @query(f"select key, seq, value from {newest_sql('key between ' + repr('user:00010') + ' and ' + repr('user:00090'))} where {LIVE_SQL}")
 def scan_range(spark, d):
-    return _shown(reads.scan(_log(spark, d), "user:00010", "user:00090", 1 << 30, NOW))
+    return _shown(reads.scan(_log(spark, d), "user:00010", "user:00090", None, NOW))
 
 
 @query(f"select key, seq, value from {newest_sql()} where {LIVE_SQL} order by key limit 20")
