@@ -72,13 +72,16 @@ CODED = "^[0-9]+-"
 TITLE = rf"(?:{'|'.join(FEMALE + MALE)})\.? "
 GIVEN = rf"(?:{'|'.join(GIVEN_FEMALE + GIVEN_MALE)})"
 WORD = r"[\p{Lu}][\p{L}'-]+"
-NAME = rf"(?<![\p{{L}}])(?:{TITLE}{WORD}(?: {WORD})?|{GIVEN} {WORD})"
-_HEADS = "".join(sorted({t[0] for t in FEMALE + MALE + GIVEN_FEMALE + GIVEN_MALE}))
+# Most capitals are followed by a small word: that is looked at before any list of names.
+BEFORE = r"(?=[\p{L}-]+\.? \p{Lu})"
+NAME = rf"(?<![\p{{L}}]){BEFORE}(?:{TITLE}{WORD}(?: {WORD})?|{GIVEN} {WORD})"
+#: What a name or title begins with, as ranges: the class is tried at every place of a text.
+_HEADS = "A-ZÀ-ÞА-Яг"
 KINDS = {"email": EMAIL, "ip": IP, "ssn": SSN, "phone": PHONE, "card": CARD, "name": NAME}
-#: All kinds; what a number or a name can begin with is looked at first, so that other places cost one step.
-ANY = rf"{EMAIL}|(?=[0-9+(])(?:{'|'.join(KINDS[k] for k in ('ip', 'ssn', 'phone', 'card'))})|(?=[{_HEADS}]){NAME}"
-#: A text without these has no match, and skips the full pattern.
-HINT = rf"[@0-9]|(?=[{_HEADS}])(?:{TITLE}|{GIVEN} )"
+#: All kinds but emails; what a number or a name can begin with is looked at first, so that other places cost one step.
+PLAIN = rf"(?=[0-9+(])(?:{'|'.join(KINDS[k] for k in ('ip', 'ssn', 'phone', 'card'))})|(?=[{_HEADS}]){NAME}"
+#: All kinds, for texts with an @.
+ANY = rf"{EMAIL}|{PLAIN}"
 
 CYRILLIC = "бцдфгхйклмнпрствзаеиоу"
 LATIN = "bcdfghjklmnprstvzaeiou"
@@ -194,15 +197,20 @@ def render(match: Column, found: Column, drawn: Column) -> Column:
     return F.when(kind.isin("email", "ip"), at(drawn, 0)).when(kind.isin("card", "ssn", "phone"), _refill(match, F.regexp_replace(at(drawn, 0), CODED, ""))).otherwise(named)
 
 
+def _all(text: Column) -> Column:
+    """All matches in a text."""
+    return F.when(F.contains(text, F.lit("@")), matches(text, ANY)).otherwise(matches(text, PLAIN))
+
+
 def _found(text: Column) -> Column:
     """struct<whole, between> of a text; null without a match."""
-    both = F.struct(matches(text, ANY).alias("whole"), F.split(text, ANY, -1).alias("between"))
-    return F.when(text.rlike(HINT), let(both, lambda f: F.when(F.size(f["whole"]) > 0, f)))
+    between = F.when(F.contains(text, F.lit("@")), F.split(text, ANY, -1)).otherwise(F.split(text, PLAIN, -1))
+    return let(_all(text), lambda whole: F.when(F.size(whole) > 0, F.struct(whole.alias("whole"), between.alias("between"))))
 
 
 def collisions(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """kind, id, attempt of the entities whose first draw was taken. Every distinct entity of the texts is checked."""
-    found = input_columns(docs, text=text).where(F.col("text").rlike(HINT)).select(F.explode(matches(F.col("text"), ANY)).alias("m")).distinct().select(F.explode(entities(F.col("m"))).alias("e")).select("e.*").distinct()
+    found = input_columns(docs, text=text).select(F.explode(_all(F.col("text"))).alias("m")).distinct().select(F.explode(entities(F.col("m"))).alias("e")).select("e.*").distinct()
     entity = F.struct("kind", "id")
     with scratch(docs.sparkSession):
         drawn = materialize(found.select("kind", "id", F.lit(0).alias("attempt"), surrogate(key, entity, F.lit(0)).alias("s")), "entities")
