@@ -1,7 +1,7 @@
 import pytest
 
 from tests.oracle import compare
-from tidelog.plans import catalog
+from tidelog.plans import catalog, scenarios  # noqa: F401
 
 
 @pytest.mark.parametrize("name", list(catalog.QUERIES))

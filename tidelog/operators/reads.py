@@ -17,7 +17,7 @@ WRONG_TYPE = "WRONGTYPE Operation against a key holding the wrong kind of value"
 KEYS_LIMIT = 1000
 
 
-def expired(now_ms: int, at: Column | None = None) -> Column:
+def expired(now_ms: int | Column, at: Column | None = None) -> Column:
     at = F.col("expire_at_ms") if at is None else at
     return (at > 0) & (at <= now_ms)
 

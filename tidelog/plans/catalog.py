@@ -54,7 +54,10 @@ def _shown(log: DataFrame) -> DataFrame:
 
 
 def _rows(spark, names: str, rows) -> DataFrame:
-    return spark.createDataFrame(rows, names)
+    """A few rows (names and types) as a relation of the JVM's: no Python worker has to make them."""
+    kinds = [n.split() for n in names.split(", ")]
+    each = [F.struct(*[F.lit(v).cast(kind).alias(n) for (n, kind), v in zip(kinds, r, strict=True)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*each)))
 
 
 # Reads
@@ -133,8 +136,7 @@ def ttl_expired(spark, d):
 @query("select seq, expire_at_ms > 0 and expire_at_ms <= expire_at_ms at_moment, expire_at_ms > 0 and expire_at_ms <= expire_at_ms - 1 just_before from log")
 def ttl_boundary(spark, d):
     at = F.col("expire_at_ms")
-    rule = lambda now: (at > 0) & (at <= now)
-    return _log(spark, d).select("seq", rule(at).alias("at_moment"), rule(at - 1).alias("just_before"))
+    return _log(spark, d).select("seq", reads.expired(at).alias("at_moment"), reads.expired(at - 1).alias("just_before"))
 
 
 @query(f"select key, seq from {newest_sql()} where vtype = 2")
@@ -286,7 +288,9 @@ def list_pops(spark, d):
     return _lists(spark, d).select("key", left.alias("lpop"), right.alias("rpop"), F.array_join(rest, " ").alias("after_lpop"), F.array_join(front, " ").alias("after_rpop"))
 
 
-@query()
+@query("""with o as (select 'list:' || user_id key, event_id, [case event_type when 'error' then 'lpop' when 'signup' then 'rpop' when 'view' then 'lpush' else 'rpush' end, event_id::varchar] op from events)
+select key, array_to_string(list_reduce(list_prepend([]::varchar[], list(op order by event_id)), lambda a, s: case s[1] when 'rpush' then list_append(a, s[2]) when 'lpush' then list_prepend(s[2], a) when 'lpop' then a[2:] else a[:len(a) - 1] end), ' ') items
+from o group by key""", log=False)
 def list_fold_with_pops(spark, d):
     e = oplog.table(spark, d, "events")
     op = F.when(F.col("event_type") == "error", "lpop").when(F.col("event_type") == "signup", "rpop").when(F.col("event_type") == "view", "lpush").otherwise("rpush")
