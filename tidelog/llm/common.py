@@ -9,7 +9,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text of one batch that goes to a worker (a longer row makes a batch of its own).
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 #: Words of the shingle and quality operators are runs of anything but these bytes.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -119,6 +119,21 @@ def release() -> None:
     _trimmer()(0)
 
 
+#: How to drop what an operator keeps in a worker between tasks, by its name.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, drop: Callable[[], None]) -> None:
+    _kept[name] = drop
+
+
+def alone(name: str = "") -> None:
+    """Drop what operators other than this one keep in this worker: workers live on, and all of it together is too much."""
+    for other, drop in _kept.items():
+        if other != name:
+            drop()
+
+
 def prepare(spark: SparkSession) -> None:
     """Bound the batches, and send this package to the workers, once a context, unless their path has it anyway."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -152,10 +167,11 @@ def spread(units: DataFrame, *keys: str, most: int = 20_000) -> DataFrame:
     return units.repartition(max(1, min(most, units.count())), *keys)
 
 
-def keep_rows(docs: DataFrame, wanted) -> DataFrame:
+def keep_rows(docs: DataFrame, wanted, name: str = "") -> DataFrame:
     """The rows of docs for which wanted(batch), an array of booleans, is true; all columns as they are."""
 
     def run(batches):
+        alone(name)
         for batch in batches:
             yield batch.filter(wanted(batch))
             release()

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_path, input_columns, keep_rows, materialize, register, release, scratch
+from .common import alone, filesystem, fresh_path, input_columns, keep_rows, keeps, materialize, register, release, scratch
 
 WINDOW = 10
 #: Words of a window that stand for it in the automaton.
@@ -181,6 +181,9 @@ def matcher(blocks: Blocks, block: int) -> Matcher:
     return made
 
 
+keeps("decontaminate", matcher.cache_clear)
+
+
 def spans_of(text: str, words: list[int]) -> list[dict]:
     """Code-point spans of runs of the given words (ascending numbers) in the original text."""
     out, wanted, k, last = [], words, 0, -2
@@ -204,6 +207,7 @@ def _scan_block(docs: DataFrame, blocks: Blocks, block: int, spans: bool) -> Dat
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), _SPANS]
 
     def run(batches):
+        alone("decontaminate")
         for batch in batches:
             rows = []
             texts = batch.column("text").cast(pa.binary()).to_pylist()
@@ -225,7 +229,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
             found = matcher(blocks, block)
             return pa.array([not len(found.hits(words_of(t or b""))[0]) for t in batch.column(text).cast(pa.binary()).to_pylist()], pa.bool_())
 
-        docs = keep_rows(docs, wanted)
+        docs = keep_rows(docs, wanted, "decontaminate")
         if block + 1 < blocks.n:  # so that a task never holds two automata
             docs = materialize(docs, "decontaminate-kept")
     return docs

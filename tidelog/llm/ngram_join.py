@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .common import input_columns, materialize, release, scratch, unused
+from .common import alone, input_columns, materialize, release, scratch, unused
 from .components import components
 
 #: Postings of one bucket (24 bytes each), of which a task holds at most HOLD buckets' worth at once.
@@ -65,6 +65,7 @@ def profile(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     bits = sh.sketch_bits(docs.count())
 
     def run(batches):
+        alone()
         sketch = np.zeros((sh.SKETCH_ROWS, 1 << bits), np.int64)
         for batch in batches:
             sizes, ids, held, n = [], [], [], 0

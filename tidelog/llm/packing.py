@@ -23,6 +23,9 @@ WINDOW = 4096
 #: Pieces that one task packs together; more shards, never larger ones, for more input.
 SHARD_PIECES = 50_000
 
+#: Text that is encoded at once (a task's arrays take about ten times as much).
+CUT_BYTES = 3 << 20
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -80,7 +83,7 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WIN
 
     def run(batches):
         for batch in batches:
-            for part, ids, bounds in encoded(batch, tokenizer_path, end_id):
+            for part, ids, bounds in encoded(batch, tokenizer_path, end_id, CUT_BYTES):
                 wide = memoryview(ids.astype("<u4").view(np.uint8))
                 rows = [
                     (i, at, min(window, n - at), zlib.crc32(wide[4 * (a + at) : 4 * (a + min(at + window, n))]), n)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-from .common import release
+from .common import alone, keeps, release
 
 #: Pieces kept per worker before the cache starts anew (about 200 bytes each).
 CACHE_PIECES = 400_000
@@ -154,6 +154,9 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+keeps("tokens", tokenizer.cache_clear)
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES):
     """Slices of a batch with at most so many bytes of text (or one row)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -167,10 +170,11 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
         yield batch.slice(start)
 
 
-def encoded(batch: pa.RecordBatch, path: str, end_id: int | None):
-    """For each slice of the batch: the slice and its texts' id arrays, each with end_id after it."""
+def encoded(batch: pa.RecordBatch, path: str, end_id: int | None, most: int = CHUNK_BYTES):
+    """For each slice of the batch with at most so many bytes of text: the slice and its texts' id arrays, each with end_id after it."""
+    alone("tokens")
     tok = tokenizer(path)
-    for part in chunks(batch):
+    for part in chunks(batch, most=most):
         ids, bounds = tok.encode(part.column("text"))
         if end_id is not None:
             ids = np.insert(ids, bounds[1:], end_id)
