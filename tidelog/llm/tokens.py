@@ -1,9 +1,9 @@
 """Whole texts to token ids with the tokenizers library, each distinct word once per worker.
 
 A word-level BPE with white space dropped treats the words of a text independently, so a text's ids are its
-words' ids in a row. Words are counted and looked up by Arrow; only pieces that this worker has not met go
-through the library. Texts that hold anything outside the plain repertoire (Latin letters, digits,
-punctuation) take the library's own path word by word.
+words' ids in a row. Words are counted and looked up by Arrow among those that this worker keeps; of the others,
+only pieces that it does not keep go through the library. Words that hold anything outside the plain repertoire
+(Latin letters, digits, punctuation) take the library's own path.
 """
 
 from __future__ import annotations
@@ -20,12 +20,16 @@ from tokenizers import Tokenizer
 
 from .common import alone, keeps, release
 
-#: Pieces kept per worker before the cache starts anew (about 200 bytes each).
-CACHE_PIECES = 400_000
+#: Words, and pieces of words, that a worker keeps with their ids before the rarer half is dropped; the longest one's bytes.
+CACHE_WORDS = 200_000
+LONGEST = 64
 #: Bytes of text handled at once.
 CHUNK_BYTES = 8 << 20
 
-#: Characters for which lower-casing and splitting agree everywhere: ASCII and the Latin-1 letters.
+#: Letters for which lower-casing and splitting agree everywhere: ASCII and Latin-1.
+_LETTERS = "".join(chr(c) for c in range(256) if chr(c).isalpha() and chr(c) not in "ªµº")
+#: A word of letters, then of these, has one piece of each.
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 _PLAIN = re.compile(r"[\x20-\x7EÀ-ÖØ-öø-ÿ]*")
 #: The vocabulary's own splitting rule (fixed value).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -39,14 +43,67 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def ranges(first: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each range (each many), in a row."""
+    full = each > 0
+    first, each = first[full], each[full]
+    if not len(each):
+        return np.empty(0, np.int64)
+    step = np.ones(int(each.sum()), np.int64)  # one further, but for a jump where a range begins
+    step[0] = first[0]
+    step[np.cumsum(each[:-1])] = first[1:] - first[:-1] - each[:-1] + 1
+    return np.cumsum(step, out=step)
+
+
+class Kept:
+    """Strings met before with their ids, as one Arrow array of at most room strings of at most LONGEST bytes.
+
+    When it is full, the half that the most batches had stays.
+    """
+
+    def __init__(self, room: int, dtype: np.dtype):
+        self.room, self.strings = room, pa.array([], pa.string())
+        self.ids = np.empty(0, dtype)  # in a row; each string has its first place, its count, and the batches it was in
+        self.first, self.each, self.met = (np.empty(0, np.int64) for _ in range(3))
+
+    def look_up(self, distinct: pa.Array, learn) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each string its first place among them and its count; learn(strings) gives the ids and counts of new ones."""
+        place = pc.fill_null(pc.index_in(distinct, value_set=self.strings), -1).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(place < 0)
+        self.met[place[place >= 0]] += 1
+        if not len(new):
+            return self.ids, self.first[place], self.each[place]
+        strings = distinct.take(pa.array(new))
+        fresh, count = learn(strings)
+        ids = np.concatenate([self.ids, fresh])
+        first, each = (np.append(kept, 0)[place] for kept in (self.first, self.each))
+        first[new], each[new] = len(self.ids) + np.cumsum(count) - count, count
+        self._keep(strings, ids, first[new], count)
+        return ids, first, each
+
+    def _keep(self, strings: pa.Array, ids: np.ndarray, first: np.ndarray, each: np.ndarray) -> None:
+        short = np.flatnonzero(pc.binary_length(strings).to_numpy(zero_copy_only=False) <= LONGEST)
+        stay = np.arange(len(self.strings))
+        if len(stay) + len(short) > self.room:
+            most = min(len(stay), self.room // 2)
+            stay = np.sort(np.argsort(-self.met, kind="stable")[:most])
+            short = short[: self.room - most]
+            self.met[:] = 0
+        self.strings = pa.concat_arrays([self.strings.take(pa.array(stay)), strings.take(pa.array(short))])
+        first = np.concatenate([self.first[stay], first[short]])
+        self.each = np.concatenate([self.each[stay], each[short]])
+        self.met = np.concatenate([self.met[stay], np.ones(len(short), np.int64)])
+        self.ids = ids[ranges(first, self.each)]
+        self.first = np.cumsum(self.each) - self.each
+
+
 class WordTokenizer:
     """Ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
-    Pieces met before are kept in two generations of at most cache_pieces / 2 each; when the younger is full
-    it becomes the older one, so frequent pieces stay and memory is bounded.
+    Words met before are kept with their ids; the others are split, and their pieces met before are kept likewise.
     """
 
-    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         self.full = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             shape = json.load(f)
@@ -57,96 +114,66 @@ class WordTokenizer:
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.last = np.zeros(self.size, bool)  # ids that end a piece
         self.last[[i for t, i in shape["model"]["vocab"].items() if t.endswith("</w>")]] = True
-        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in shape["added_tokens"]) or r"(?!)")
+        self.special = [t["content"] for t in shape["added_tokens"]]
         self.bare = Tokenizer(self.full.model)  # the same vocabulary and merges, for ready pieces
-        self.half = cache_pieces // 2
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Put pieces that are in neither generation into the younger one."""
-        for at in range(0, len(pieces), self.half):
-            new = pieces[at : at + self.half]
-            if len(self.young) + len(new) > self.half:
-                self.old, self.young = self.young, {}
-            letters = [p if p.isascii() else "".join(map(byte_letters().__getitem__, p.encode())) for p in new]
-            groups = [letters[k : k + 1000] for k in range(0, len(letters), 1000)]
-            ids = np.array([i for e in self.bare.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False) for i in e.ids], self.dtype)
-            ends = ((np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize).tolist()
-            if len(ends) != len(new):
-                raise ValueError("a piece of a text does not end in one token with the word's end")
-            raw, start = ids.tobytes(), 0
-            for piece, end in zip(new, ends, strict=True):
-                self.young[piece] = raw[start:end]
-                start = end
-
-    def _look(self, piece: str) -> bytes | None:
-        found = self.young.get(piece)
-        if found is None:
-            found = self.old.get(piece)
-            if found is not None and len(self.young) < self.half:
-                self.young[piece] = found
-        return found
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The packed ids of each distinct word."""
-        joined = " ".join(words)
-        if _PLAIN.fullmatch(joined) and not self.special.search(joined):
-            out, rest = joined.lower().split(" "), []
-        else:
-            odd = {i for i, w in enumerate(words) if not _PLAIN.fullmatch(w) or self.special.search(w)}
-            out, rest = ["" if i in odd else w.lower() for i, w in enumerate(words)], sorted(odd)
-        young, look, split = self.young.get, self._look, _PIECES.findall
-        known: list[bytes | None] = [b"" if not w else young(w) for w in out]
-        parts = {}
-        for i, found in enumerate(known):
-            if found is None:
-                w = out[i]
-                head = w[:-1]
-                parts[i] = [w] if w.isalpha() else [head, w[-1]] if head.isalpha() and w[-1] in ",.;:!?" else split(w)
-        local: dict[str, bytes] = {}
-        missing = []
-        for pieces in parts.values():
-            for p in pieces:
-                if p not in local:
-                    found = look(p)
-                    local[p] = found if found is not None else b""
-                    if found is None:
-                        missing.append(p)
-        for at in range(0, len(missing), self.half):
-            new = missing[at : at + self.half]
-            self._learn(new)
-            local.update((p, self.young[p]) for p in new)
-        for i, pieces in parts.items():
-            known[i] = local[pieces[0]] if len(pieces) == 1 else b"".join([local[p] for p in pieces])
-        for i in rest:
-            known[i] = np.array(self.full.encode(words[i], add_special_tokens=False).ids, self.dtype).tobytes()
-        return known
+        self.words, self.pieces = Kept(cache_words, self.dtype), Kept(cache_words, self.dtype)
+
+    def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct lower-case pieces in a row, and each one's count."""
+        new = pieces.to_pylist()
+        letters = [p if p.isascii() else "".join(map(byte_letters().__getitem__, p.encode())) for p in new]
+        groups = [letters[k : k + 1000] for k in range(0, len(letters), 1000)]
+        ids = np.array([i for e in self.bare.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False) for i in e.ids], self.dtype)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != sum(map(bool, new)):
+            raise ValueError("a piece of a text does not end in one token with the word's end")
+        count = np.zeros(len(new), np.int64)
+        count[np.fromiter(map(bool, new), bool, len(new))] = np.diff(ends, prepend=0)
+        return ids, count
+
+    def _split(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words in a row, and each one's count."""
+        stems, tails = pc.utf8_rtrim(words, _MARKS), pc.utf8_ltrim(words, _LETTERS)
+        simple = pc.equal(pc.utf8_ltrim(stems, _LETTERS), "")
+        for content in self.special:
+            simple = pc.and_not(simple, pc.match_substring(words, content))
+        at = np.flatnonzero(simple.to_numpy(zero_copy_only=False))
+        odd = np.setdiff1d(np.arange(len(words)), at, assume_unique=True)
+        extra, owned, foreign, holders = [], [], [], []
+        for i, w in zip(odd.tolist(), words.take(pa.array(odd)).to_pylist(), strict=True):
+            if not _PLAIN.fullmatch(w) or any(content in w for content in self.special):
+                foreign.append(w)
+                holders.append(i)
+            else:
+                parts = _PIECES.findall(w.lower())
+                extra += parts
+                owned += [i] * len(parts)
+        pieces = pa.concat_arrays([pc.utf8_lower(stems.filter(simple)), tails.filter(simple), pa.array(extra, pa.string())]).dictionary_encode()
+        ids, first, each = self.pieces.look_up(pieces.dictionary, self._learn)
+        which = pieces.indices.to_numpy(zero_copy_only=False)
+        first, each = first[which], each[which]
+        owners = np.concatenate([at, at, np.array(owned, np.int64)])
+        if foreign:
+            found = [e.ids for e in self.full.encode_batch_fast(foreign, add_special_tokens=False)]
+            count = np.fromiter(map(len, found), np.int64, len(found))
+            first = np.concatenate([first, len(ids) + np.cumsum(count) - count])
+            ids = np.concatenate([ids, np.array([i for f in found for i in f], self.dtype)])
+            each, owners = np.concatenate([each, count]), np.concatenate([owners, np.array(holders, np.int64)])
+        order = np.argsort(owners, kind="stable")  # a word's pieces keep their order
+        count = np.bincount(owners, weights=each, minlength=len(words)).astype(np.int64)
+        return ids[ranges(first[order], each[order])], count
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and each text's bounds among them (one more than texts). A null has no ids."""
         words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         bounds = words.offsets.to_numpy().astype(np.int64)
         flat = words.flatten().dictionary_encode()
-        distinct = flat.dictionary
-        one = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct)
-        packed = self._words(pc.binary_join(one, "\n")[0].as_py().split("\n")) if len(distinct) else []
-        width = self.dtype.itemsize
-        each = np.fromiter(map(len, packed), np.int32, len(packed)) // width
-        ids = np.frombuffer(b"".join(packed), self.dtype)
-        first = np.cumsum(each, dtype=np.int64) - each
+        ids, first, each = self.words.look_up(flat.dictionary, self._split)
         which = flat.indices.to_numpy(zero_copy_only=False)
         n = each[which]
         ends = np.zeros(len(which) + 1, np.int64)
         np.cumsum(n, out=ends[1:])
-        step = np.ones(ends[-1], np.int32)  # places among ids: one further, but for a jump where a word begins
-        full = n > 0
-        heads = ends[:-1][full]
-        starts = first[which[full]]
-        if len(heads):
-            step[heads[0]] = starts[0]
-            step[heads[1:]] = starts[1:] - starts[:-1] - n[full][:-1] + 1
-        return ids[np.cumsum(step, dtype=np.int64)] if len(step) else ids[:0], ends[bounds - bounds[0]]
+        return ids[ranges(first[which], n)], ends[bounds - bounds[0]]
 
 
 @functools.cache
