@@ -47,6 +47,21 @@ def test_tokenizer_equals_the_library_on_random_text(direct):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == direct(x), x[:100]
 
 
+@pytest.mark.parametrize("size", [1, 3, 50, 400_000])
+def test_tokenizer_forgets_words_and_still_equals_the_library(direct, size):
+    r = random.Random(size)
+    bits = [*"abcABCéÉßñÿÀ×÷µºªİſ'.,!?<>|$%&#*@-_019 \t\n\x0b\x1c\x85", "中", "и", "\u0301", "\u00a0", "\u3000", "'s", "'ll", "don't", "<|endoftext|>", "z" * 70]
+    tok = WordTokenizer(tokenizer_file(), size)
+    for _ in range(60):
+        texts = [None if r.random() < 0.1 else "".join(r.choices(bits, k=r.randrange(50))) for _ in range(20)]
+        ids, bounds = tok.encode(pa.array(texts, pa.string()))
+        for i, x in enumerate(texts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == direct(x), x
+        for kept in (tok.words, tok.pieces):
+            assert len(kept.strings) <= size and len(kept.ids) == kept.each.sum()
+            assert all(len(w.encode()) <= 64 for w in kept.strings.to_pylist())
+
+
 def ids_of(direct, text):
     return np.array([*direct(text), 2], "<u4")
 
