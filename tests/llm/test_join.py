@@ -165,6 +165,55 @@ def test_prefixes_of_linked_sets_meet():
         assert pairs.tolist() == [[0, 1]] and ngram_join.linked(a, b)
 
 
+def test_texts_that_only_share_passages_are_not_compared_whole(spark, monkeypatch):
+    """All texts of four passages of three each: they meet at common shingles, and none links but the near copies."""
+    passage = lambda k, v: [f"p{k}v{v}w{i}" for i in range(20)]
+    texts = [" ".join(w for k in range(4) for w in passage(k, n // 3**k % 3)) for n in range(81)]
+    texts += [t + " more" for t in texts[:5]]
+    compared = []
+    monkeypatch.setattr(ngram_join, "verify", lambda pairs, t, real=ngram_join.verify: compared.append(pairs.count()) or real(pairs, t))
+    assert found(frame(spark, texts)) == brute(list(enumerate(texts)))
+    assert 5 <= compared[0] < 200
+
+
+def test_parities_never_exclude_a_link():
+    r = np.random.default_rng(1)
+    some = lambda n: shingles.mix(r.integers(0, 1 << 62, n).astype(np.uint64))
+    sets = []
+    for n in [1, 3, 60, 64, 65, 120, 130, 1000, 1100, 70_000]:
+        base = some(n)
+        sets += [np.unique(np.concatenate([base[: n - k], some(m)])) for k, m in ((0, 0), (n // 8, n // 8), (n // 4, 0), (0, n // 3))] + [np.unique(some(n))]
+    marks, sizes = [shingles.parities(s) for s in sets], np.array([len(s) for s in sets])
+    near = lambda i, j: 7 * shingles.differing(marks[i], marks[j]) <= sizes[i] + sizes[j]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+    for i, j in pairs:
+        assert shingles.differing(marks[i], marks[j]) <= len(np.setxor1d(sets[i], sets[j]))
+        assert near(i, j) or not ngram_join.linked(sets[i], sets[j])
+    assert any(ngram_join.linked(sets[i], sets[j]) and len(marks[i]) != len(marks[j]) for i, j in pairs)
+    each, one = np.arange(len(sets)), np.zeros(len(sets), int)
+    kept = ngram_join.block_near(one, each, sizes, marks, 0, 0)
+    assert all(kept[i] and kept[j] for i, j in pairs if ngram_join.linked(sets[i], sets[j]))
+    assert not any(ngram_join.block_near(one, one, sizes, marks, 0, 0)) and not any(ngram_join.block_near(one, each, sizes, marks, 0, 1))
+    apart = [4 + 5 * k for k in range(4, 10)]  # with no part in common
+    assert not any(ngram_join.block_near(one[apart], each[apart], sizes[apart], [marks[i] for i in apart], 0, 0)[:-1])
+
+
+def test_sketch_grows_with_the_text(spark, monkeypatch):
+    assert [shingles.sketch_bits_of_text(n) for n in (0, 1, 6144 << 18, (6144 << 18) + 6144, 6144 << 20, 1 << 60)] == [18, 18, 18, 19, 20, 22]
+    texts = variants(4, 30, 50, 4) + ["one two three four five six"] * 300
+    about, small = ngram_join.profile(frame(spark, texts))
+    monkeypatch.setattr(shingles, "sketch_bits_of_text", lambda size: 20 if size == sum(map(len, texts)) else 18)
+    again, large = ngram_join.profile(frame(spark, texts))
+    assert small.shape == (2, 1 << 18) and large.shape == (2, 1 << 20) and large.max() == 300
+    assert small.sum(1).tolist() == large.sum(1).tolist() == [sum(r["n_shingles"] for r in about.collect())] * 2
+
+
+def test_counters_take_the_bytes_they_need():
+    for most, width in ((255, 1), (256, 2), (65_536, 4)):
+        raw = ngram_join.narrow(np.array([0, 7, most], np.uint32))
+        assert len(raw) == 3 * width and np.frombuffer(raw, f"<u{width}").tolist() == [0, 7, most]
+
+
 @pytest.mark.parametrize("local", [0, 500_000])
 def test_components(spark, monkeypatch, local):
     monkeypatch.setattr("tidelog.llm.components.LOCAL_EDGES", local)

@@ -4,11 +4,13 @@
    that counts all shingles of all texts.
 2. Prefixes: a set's rarest shingles, by the sketch, as many as must hold a common one for a link, are dealt by
    shingle. Sets that meet at a shingle are candidates unless the length or the position filter excludes them.
-3. Verification: candidates, each pair once, are compared whole, after the suffix filter (hash ranges of what
-   lies behind the prefix). Texts travel compressed; only those of candidates travel at all.
+3. Verification: candidates, each pair once, are first compared by their sets' parities (a bit or two a shingle):
+   each that differs is a shingle of one set alone, so too many exclude a link. What is left is compared whole,
+   after the suffix filter (hash ranges of what lies behind the prefix). Texts travel compressed; only those of
+   candidates that are left travel at all.
 4. Components over the links. Where many sets meet at one shingle, only neighbours by size are candidates at
    first; if that leaves several components at the shingle, the sets outside its largest one are compared with
-   all of the others there, in blocks. So no link between components is lost, and a group of near copies is
+   all of the others there, in blocks, by parities and then by texts. So no link between components is lost, and a group of near copies is
    not expanded into its pairs. A shingle with more sets than a task should hold goes straight to that step; a
    wrong guess about which ones these are costs time, never a link.
 
@@ -60,24 +62,27 @@ def _sets(batch: pa.RecordBatch, column: str = "text"):
 
 
 def profile(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n_shingles, set_id (null for an empty set) of every document, and the sketch over all shingles."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
-    bits = sh.sketch_bits(docs.count())
+    """doc_id, n_shingles, set_id (null for an empty set), parities of every document, and the sketch over all shingles."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("parities", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    docs = _named(docs, doc_id, text)
+    n_docs, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    bits = max(sh.sketch_bits(n_docs), sh.sketch_bits_of_text(size or 0))
 
     def run(batches):
         alone()
-        sketch = np.zeros((sh.SKETCH_ROWS, 1 << bits), np.int64)
+        sketch = np.zeros((sh.SKETCH_ROWS, 1 << bits), np.uint32)
         for batch in batches:
-            sizes, ids, held, n = [], [], [], 0
+            sizes, ids, marks, held, n = [], [], [], [], 0
 
             def add():
                 cells = sh.sketch_cells(np.concatenate(held), bits)
                 for r in range(sh.SKETCH_ROWS):
-                    sketch[r] += np.bincount(cells[r], minlength=1 << bits)
+                    sketch[r] += np.bincount(cells[r], minlength=1 << bits).astype(np.uint32)
 
             for s in _sets(batch):
                 sizes.append(len(s))
                 ids.append(sh.set_id(s) if len(s) else None)
+                marks.append(sh.parities(s) if len(s) else None)
                 held.append(s)
                 n += len(s)
                 if n >= 1 << 20:
@@ -86,20 +91,22 @@ def profile(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
             if held:
                 add()
             rows = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(marks, pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], schema=schema)
             release()
         flat = sketch.reshape(-1, CHUNK)
         used = np.flatnonzero(flat.any(1)).tolist()
-        if used:
-            yield pa.RecordBatch.from_pydict({"doc_id": [None] * len(used), "n_shingles": [None] * len(used), "set_id": [None] * len(used), "chunk": used, "counts": [flat[c].astype("<u4").tobytes() for c in used]}, schema)
+        for k in range(0, len(used), 64):
+            some = used[k : k + 64]
+            none = [None] * len(some)
+            yield pa.RecordBatch.from_pydict({"doc_id": none, "n_shingles": none, "set_id": none, "parities": none, "chunk": some, "counts": [narrow(flat[c]) for c in some]}, schema)
 
-    both = materialize(_named(docs, doc_id, text).mapInArrow(run, "doc_id long, n_shingles long, set_id long, chunk int, counts binary"), "profile", keep=True)
+    both = materialize(docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, parities binary, chunk int, counts binary"), "profile", keep=True)
 
     def total(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, raw in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(raw, "<u4").astype(np.int64)
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(raw, f"<u{len(raw) // CHUNK}").astype(np.int64)
         yield pa.RecordBatch.from_pydict({"chunk": list(sums), "counts": [v.astype("<i8").tobytes() for v in sums.values()]}, pa.schema([("chunk", pa.int32()), ("counts", pa.binary())]))
 
     sketch = np.zeros(sh.SKETCH_ROWS << bits, np.int64).reshape(-1, CHUNK)
@@ -107,7 +114,12 @@ def profile(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     for row in sums.collect():  # the sketch: at most 2 x 2^22 counters
         sketch[row["chunk"]] = np.frombuffer(row["counts"], "<i8")
     sketch = np.minimum(sketch, (1 << 31) - 1).astype(np.int32).reshape(sh.SKETCH_ROWS, -1)
-    return both.where("chunk is null").select("doc_id", "n_shingles", "set_id"), sketch
+    return both.where("chunk is null").select("doc_id", "n_shingles", "set_id", "parities"), sketch
+
+
+def narrow(counts: np.ndarray) -> bytes:
+    """Counters in as few bytes each as the largest needs."""
+    return counts.astype(np.min_scalar_type(counts.max()).newbyteorder("<")).tobytes()
 
 
 def hot_limits(sketch: np.ndarray) -> np.ndarray:
@@ -299,6 +311,20 @@ def candidate_texts(docs: DataFrame, sets: DataFrame, reps: DataFrame, repeated:
     return materialize(found.groupBy("set_id").agg(F.first("z").alias("z")) if repeated else found, "texts")
 
 
+def near(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (a, b) that parities do not exclude. marks: set_id, n, parities."""
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("na", "nb", "pa", "pb")]
+            ok = [7 * sh.differing(x, y) <= n + m for n, m, x, y in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    marks = marks.hint("merge")
+    left = pairs.join(marks.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("parities").alias("pa")), "a")
+    return left.join(marks.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("parities").alias("pb")), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that link."""
 
@@ -351,7 +377,30 @@ def block_links(ids: list[int], blocks: list[int], roots: list[int], texts: list
     return out
 
 
-def crowd_links(crowded: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+def block_near(blocks: np.ndarray, roots: np.ndarray, sizes: np.ndarray, marks: list[bytes], lo: int, hi: int) -> np.ndarray:
+    """Which sets of two blocks (or of one, lo == hi) have another, in another component, that parities do not exclude."""
+    keep, width = np.zeros(len(marks), bool), np.array([len(m) for m in marks])
+    held = {}
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        held[w] = at, np.frombuffer(b"".join([marks[i] for i in at.tolist()]), "<u8").reshape(len(at), -1)
+    for w, (at, bits) in held.items():
+        for to, other in ((at, bits), (held[2 * w][0], sh.folded(held[2 * w][1])) if 2 * w in held else (at[:0], bits[:0])):
+            if not len(to):
+                continue  # linked sets' sizes differ by a third at most, so their widths by one step
+            step = max(1, (4 << 20) // other.nbytes)
+            for k in range(0, len(at), step):
+                i = at[k : k + step]
+                differ = np.bitwise_count(bits[k : k + step, None] ^ other[None]).sum(-1, dtype=np.int64)
+                ok = (7 * differ <= sizes[i][:, None] + sizes[to]) & (roots[i][:, None] != roots[to])
+                if lo != hi:
+                    ok &= blocks[i][:, None] != blocks[to]
+                keep[i] |= ok.any(1)
+                keep[to] |= ok.any(0)
+    return keep
+
+
+def crowd_links(crowded: DataFrame, roots: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
     """Links that are missing between components that meet at a crowded shingle. crowded: shingle, set_id.
 
     A shingle's largest component has blocks of its own, which never meet each other: with few sets outside it,
@@ -368,7 +417,14 @@ def crowd_links(crowded: DataFrame, roots: DataFrame, texts: DataFrame) -> DataF
     dealt = dealt.withColumn("block", F.when(in_top, F.col("others") + F.pmod(spot, F.col("tops"))).otherwise(F.pmod(spot, F.col("others"))).cast("int"))
     partner = F.explode(F.sequence(F.lit(0), F.when(in_top, F.col("others") - 1).otherwise(F.col("others") + F.col("tops") - 1)))
     pairs = dealt.withColumn("other", partner).select("shingle", F.least("block", "other").alias("lo_block"), F.greatest("block", "other").alias("hi_block"), "block", "set_id", "root")
-    rows = pairs.join(texts.hint("merge"), "set_id")
+    columns = ["shingle", "lo_block", "hi_block", "block", "set_id", "root"]
+
+    def sift(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
+        kept = block_near(*(group[c].to_numpy() for c in ("block", "root", "n")), group["parities"].tolist(), key[1], key[2])
+        return group.loc[kept, columns]
+
+    left = pairs.join(marks.hint("merge"), "set_id").groupBy(*columns[:3]).applyInPandas(sift, "shingle long, lo_block int, hi_block int, block int, set_id long, root long")
+    rows = materialize(left, "crowded-near").join(texts.hint("merge"), "set_id")
 
     def run(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("set_id", kind="stable")
@@ -386,19 +442,20 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[D
     """
     about, sketch = profile(docs, doc_id, text)  # the sketch has a bounded size
     kept = about.where("set_id is not null")
-    reps = materialize(kept.groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("any_id")), "sets")
+    reps = materialize(kept.groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("any_id"), F.first("parities").alias("parities")), "sets")
+    marks = reps.select("set_id", "n", "parities")
     total = reps.agg(F.sum(F.expr("n - (3 * n + 3) div 4 + 1")).alias("p")).first()["p"] or 0
     buckets = max(1, -(-total // BUCKET_POSTINGS))
 
     met = materialize(meet_all(postings(docs, sketch, buckets, doc_id, text), buckets), "met")
-    pairs = materialize(met.where("not crowd").select("a", "b").distinct(), "pairs")
+    pairs = materialize(near(met.where("not crowd").select("a", "b").distinct(), marks), "pairs")
     crowded = met.where("crowd").select(F.col("a").alias("set_id"), F.col("b").alias("shingle"))
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(crowded.select("set_id")).distinct()
     repeated = bool(kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").take(1))
     texts = candidate_texts(docs, wanted, reps, repeated, doc_id, text)
     links = materialize(verify(pairs, texts), "links")
     if crowded.take(1):
-        more = materialize(crowd_links(crowded, components(links), texts), "links-more")
+        more = materialize(crowd_links(crowded, components(links), marks, texts), "links-more")
         links = links.unionByName(more)
     return about, links
 

@@ -71,6 +71,14 @@ def sketch_bits(documents: int) -> int:
     return min(22, 18 + (max(documents - 1, 0) >> 22).bit_length())
 
 
+def sketch_bits_of_text(size: int) -> int:
+    """As many counters in a row that about 1024 shingles at most share one (6 bytes each, size in all), within the same bounds.
+
+    With fewer, the chance counts of all others hide how common a shingle is, and common ones come first.
+    """
+    return min(22, max(18, (max(size, 1) // 6144 - 1).bit_length()))
+
+
 def sketch_cells(shingle_set: np.ndarray, bits: int) -> np.ndarray:
     """The counters of each shingle, one row for each row of the sketch."""
     mask = np.uint64((1 << bits) - 1)
@@ -91,3 +99,27 @@ def rare_first(shingle_set: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 def prefix_size(n):
     """How many of the first shingles of a set of n must hold a common one for a similarity of 3/4."""
     return n - (3 * n + 3) // 4 + 1
+
+
+def parities(shingle_set: np.ndarray) -> bytes:
+    """For each value of the hashes' last bits whether the set has an odd number of them: at least as many bits as shingles, 64 to 65,536."""
+    n = min(1 << 16, max(64, 1 << max(len(shingle_set) - 1, 0).bit_length()))
+    counts = np.bincount((shingle_set & np.uint64(n - 1)).astype(np.int64), minlength=n)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Parities (one set a row) by one bit of the hashes less."""
+    half = bits.shape[1] // 2
+    return bits[:, :half] ^ bits[:, half:]
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Of two sets' parities: so many shingles at least are in one of the sets alone."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, n = int.from_bytes(a, "little"), 8 * len(a)
+    while n > 8 * len(b):
+        n //= 2
+        x = (x >> n) ^ (x & ((1 << n) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
